@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracelake.core import table
-from tracelake.llm import repeats
+from tracelake.llm import chunking, packing, repeats, splits
 
 
 def _p2_found(spark, d):
@@ -14,12 +14,54 @@ def _p2_collapsed(spark, d):
     return repeats.collapse_repeats(table(spark, d, "tool_events"))
 
 
+def _p3_found(spark, d):
+    return chunking.found(table(spark, d, "chat_messages"), table(spark, d, "seq_providers"))
+
+
+def _p3_pieces(spark, d):
+    return chunking.split_oversized(table(spark, d, "chat_messages"), table(spark, d, "seq_providers"))
+
+
+def _p4_found(spark, d):
+    return splits.tied_pairs(table(spark, d, "dataset_cases"))
+
+
+def _p4_assignment(spark, d):
+    return splits.assign_splits(table(spark, d, "rollouts"), table(spark, d, "dataset_cases"))
+
+
+def _p4_shares(spark, d):
+    return splits.split_report(_p4_assignment(spark, d))
+
+
+def _p6_filling(spark, d):
+    return packing.fill_windows(table(spark, d, "documents"), table(spark, d, "seq_providers"))
+
+
+def _p6_windows(spark, d):
+    return packing.window_report(_p6_filling(spark, d))
+
+
 def queries():
     return {
         "p2_found": _p2_found,
         "p2_collapsed": _p2_collapsed,
+        "p3_found": _p3_found,
+        "p3_pieces": _p3_pieces,
+        "p4_found": _p4_found,
+        "p4_assignment": _p4_assignment,
+        "p4_shares": _p4_shares,
+        "p6_filling": _p6_filling,
+        "p6_windows": _p6_windows,
     }
 
 
+P3_FOUND = """
+with d as (select max(case when is_default then seq_length end) len from seq_providers)
+select distinct message_id from chat_messages m left join seq_providers p using (provider_id), d
+where length(content) > coalesce(p.seq_length, d.len)
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"p3_found": P3_FOUND}

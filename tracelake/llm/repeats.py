@@ -273,7 +273,7 @@ def collapse_repeats(events: DataFrame, keep_singles: bool = True) -> DataFrame:
     spark = events.sparkSession
     ship(spark)
     src = events.select(
-        F.col("event_id").cast("long"), "request_id", F.col("event_index").cast("long"), F.unix_micros("started_at").alias("started_at"),
+        F.col("event_id").cast("long").alias("event_id"), "request_id", F.col("event_index").cast("long").alias("event_index"), F.unix_micros("started_at").alias("started_at"),
         F.unix_micros("ended_at").alias("ended_at"), "tool_name", "args"
     )
     signed = materialize(src.mapInArrow(_sign, _SIGNED), "signed")
