@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from tracelake.core import table
-from tracelake.llm import chunking, packing, repeats, splits
+from tracelake.llm import chunking, packing, pairs, repeats, splits, truncation
+
+
+def _p1_found(spark, d):
+    return pairs.found(table(spark, d, "rollouts"))
+
+
+def _p1_judged(spark, d):
+    return pairs.judge_pairs(table(spark, d, "rollouts"))
 
 
 def _p2_found(spark, d):
@@ -42,8 +50,18 @@ def _p6_windows(spark, d):
     return packing.window_report(_p6_filling(spark, d))
 
 
+def _p8_found(spark, d):
+    return truncation.found(table(spark, d, "documents"))
+
+
+def _p8_rates(spark, d):
+    return truncation.rates(table(spark, d, "documents"))
+
+
 def queries():
     return {
+        "p1_found": _p1_found,
+        "p1_judged": _p1_judged,
         "p2_found": _p2_found,
         "p2_collapsed": _p2_collapsed,
         "p3_found": _p3_found,
@@ -53,6 +71,8 @@ def queries():
         "p4_shares": _p4_shares,
         "p6_filling": _p6_filling,
         "p6_windows": _p6_windows,
+        "p8_found": _p8_found,
+        "p8_rates": _p8_rates,
     }
 
 
