@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracelake.core import table
-from tracelake.llm import chunking, packing, pairs, repeats, splits, truncation
+from tracelake.llm import chunking, leaks, packing, pairs, pii, repeats, splits, truncation
 
 
 def _p1_found(spark, d):
@@ -42,6 +42,14 @@ def _p4_shares(spark, d):
     return splits.split_report(_p4_assignment(spark, d))
 
 
+def _p5_found(spark, d):
+    return pii.found(table(spark, d, "chat_messages"), table(spark, d, "tool_events"))
+
+
+def _p5_redacted(spark, d):
+    return pii.redacted(table(spark, d, "chat_messages"), table(spark, d, "tool_events"))
+
+
 def _p6_filling(spark, d):
     return packing.fill_windows(table(spark, d, "documents"), table(spark, d, "seq_providers"))
 
@@ -50,6 +58,14 @@ def _p6_windows(spark, d):
     return packing.window_report(_p6_filling(spark, d))
 
 
+def _p7_found(spark, d):
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _p7_report(spark, d):
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _p8_found(spark, d):
     return truncation.found(table(spark, d, "documents"))
 
@@ -69,8 +85,12 @@ def queries():
         "p4_found": _p4_found,
         "p4_assignment": _p4_assignment,
         "p4_shares": _p4_shares,
+        "p5_found": _p5_found,
+        "p5_redacted": _p5_redacted,
         "p6_filling": _p6_filling,
         "p6_windows": _p6_windows,
+        "p7_found": _p7_found,
+        "p7_report": _p7_report,
         "p8_found": _p8_found,
         "p8_rates": _p8_rates,
     }
