@@ -114,7 +114,7 @@ def masked(c: Column) -> Column:
     """Flat redaction of links, mail addresses and long identifiers."""
     c = F.regexp_replace(c, r"https?://[^\s\"<>)]+", "<url>")
     c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<email>")
-    return F.regexp_replace(c, r"\b[0-9a-f]{8,}\b", "<id>")
+    return F.regexp_replace(c, r"[0-9a-f]{8,}", "<id>")
 
 
 def labelled_ids(c: Column, pattern: str, label: str) -> Column:

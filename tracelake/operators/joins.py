@@ -99,5 +99,6 @@ def merge_by_precedence(sources: list[DataFrame], key: list[str], value: str) ->
         t = s.select(*key, F.col(value), F.lit(i).alias("_i"))
         tagged = t if tagged is None else tagged.unionByName(t)
     present = tagged.where(F.col(value).isNotNull())
-    out = present.groupBy(*key).agg(F.min_by(value, "_i").alias(value), F.count_distinct(value).alias("_n"))
-    return tagged.select(*key).distinct().join(out, key, "left").select(*key, value, (F.coalesce("_n", F.lit(0)) > 1).alias("is_conflict"))
+    out = present.groupBy(*key).agg(F.min(F.struct("_i", value)).alias("_first"), (F.min(value) < F.max(value)).alias("_differ"))
+    out = out.select(*key, F.col(f"_first.`{value}`").alias(value), "_differ")
+    return tagged.select(*key).distinct().join(out, key, "left").select(*key, value, F.coalesce("_differ", F.lit(False)).alias("is_conflict"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.core import table
 
-SCORE_SCALE = 500000.0  # a constant keeps the score free of a global aggregate
+SCORE_SCALE = 499979.0  # a constant keeps the score free of a global aggregate; prime, so that no mean ends on a rounding tie
 GAMMA = 0.95
 WEIGHT = 0.5
 
@@ -60,11 +60,11 @@ def advantages(rows: DataFrame, weight: float = WEIGHT) -> DataFrame:
         F.col("segment_id").cast("long").alias("segment_id"),
         F.col("is_boundary").cast("long").alias("is_boundary"),
         F.col("ordinal").cast("long").alias("boundary_ordinal"),
-        F.round("row_baseline", 6).alias("row_baseline"),
-        F.round("traj_baseline", 6).alias("traj_baseline"),
-        F.round(F.col("score") - F.col("row_baseline"), 6).alias("outcome_adv"),
-        F.round(local, 6).alias("local_adv"),
-        F.round(F.col("score") - F.col("row_baseline") + weight * local, 6).alias("total_adv"),
+        (F.round("row_baseline", 6) + 0.0).alias("row_baseline"),
+        (F.round("traj_baseline", 6) + 0.0).alias("traj_baseline"),
+        (F.round(F.col("score") - F.col("row_baseline"), 6) + 0.0).alias("outcome_adv"),
+        (F.round(local, 6) + 0.0).alias("local_adv"),
+        (F.round(F.col("score") - F.col("row_baseline") + weight * local, 6) + 0.0).alias("total_adv"),
     )
 
 
@@ -90,10 +90,10 @@ t as (select prompt_id, count(*) n_traj, avg(s) traj_baseline
       from (select prompt_id, trajectory_id, max(score) s from seg group by 1, 2) group by 1),
 r as (select prompt_id, ordinal, count(*) n_reach from seg where ordinal is not null group by 1, 2)
 select seg.prompt_id, trajectory_id, cast(turn as bigint) turn, cast(segment_id as bigint) segment_id, cast(is_boundary as bigint) is_boundary,
-       cast(seg.ordinal as bigint) boundary_ordinal, round(row_baseline, 6) row_baseline, round(traj_baseline, 6) traj_baseline,
-       round(score - row_baseline, 6) outcome_adv,
-       round(case when is_boundary = 1 then 1 - n_reach / n_traj else 0.0 end, 6) local_adv,
-       round(score - row_baseline + {WEIGHT} * (case when is_boundary = 1 then 1 - n_reach / n_traj else 0.0 end), 6) total_adv
+       cast(seg.ordinal as bigint) boundary_ordinal, round(row_baseline, 6) + 0.0 row_baseline, round(traj_baseline, 6) + 0.0 traj_baseline,
+       round(score - row_baseline, 6) + 0.0 outcome_adv,
+       round(case when is_boundary = 1 then 1 - n_reach / n_traj else 0.0 end, 6) + 0.0 local_adv,
+       round(score - row_baseline + {WEIGHT} * (case when is_boundary = 1 then 1 - n_reach / n_traj else 0.0 end), 6) + 0.0 total_adv
 from seg join g using (prompt_id) join t using (prompt_id) left join r on r.prompt_id = seg.prompt_id and r.ordinal = seg.ordinal
 """
 
