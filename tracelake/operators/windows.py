@@ -33,7 +33,11 @@ def rolling(df: DataFrame, entity: list[str], order: str, value: str, median_spa
     """Centred rolling median and trailing rolling mean."""
     w = Window.partitionBy(*entity).orderBy(order)
     h = median_span // 2
-    return df.withColumn("rolling_median", F.median(value).over(w.rowsBetween(-h, h))).withColumn("rolling_mean", F.avg(value).over(w.rowsBetween(1 - mean_span, 0)))
+    near = F.array_sort(F.collect_list(value).over(w.rowsBetween(-h, h)))  # median_span values at most
+    n = F.size("_near")
+    middle = (F.element_at("_near", F.expr("int((size(_near) + 1) div 2)")) + F.element_at("_near", F.expr("int(size(_near) div 2 + 1)"))) / 2
+    d = df.withColumn("_near", near).withColumn("rolling_median", F.when(n > 0, middle))
+    return d.withColumn("rolling_mean", F.avg(value).over(w.rowsBetween(1 - mean_span, 0))).drop("_near")
 
 
 def recurrences(spikes: DataFrame, entity: list[str], step: str, period: int, tolerance: int = 1) -> DataFrame:
