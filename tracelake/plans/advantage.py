@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.core import table
+from tracelake.operators.credit import credited
 
 SCORE_SCALE = 499979.0  # a constant keeps the score free of a global aggregate; prime, so that no mean ends on a rounding tie
 GAMMA = 0.95
@@ -39,19 +40,9 @@ def advantages(rows: DataFrame, weight: float = WEIGHT) -> DataFrame:
              that reach a k-th boundary; 0 on other turns.
     total:   outcome + weight * local, so weight 0 gives the outcome exactly.
     """
-    tw = Window.partitionBy("trajectory_id").orderBy("turn")
-    before = tw.rowsBetween(Window.unboundedPreceding, -1)
-    upto = tw.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("segment_id", F.coalesce(F.sum("is_boundary").over(before), F.lit(0))).withColumn(
-        "ordinal", F.when(F.col("is_boundary") == 1, F.sum("is_boundary").over(upto))
-    )
-    # Three narrow aggregates replace windows over whole groups, so a hot prompt stays partial-aggregated.
-    group = rows.groupBy("prompt_id").agg(F.avg("score").alias("row_baseline"))
-    traj = rows.groupBy("prompt_id", "trajectory_id").agg(F.max("score").alias("s")).groupBy("prompt_id").agg(
-        F.count("*").alias("n_traj"), F.avg("s").alias("traj_baseline")
-    )
-    reach = rows.where("ordinal is not null").groupBy("prompt_id", "ordinal").agg(F.count("*").alias("n_reach"))
-    out = rows.join(group, "prompt_id").join(traj, "prompt_id").join(reach, ["prompt_id", "ordinal"], "left")
+    before = Window.partitionBy("trajectory_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("segment_id", F.coalesce(F.sum("is_boundary").over(before), F.lit(0)))
+    out = credited(rows, "prompt_id", "trajectory_id", "turn", "is_boundary", "score")
     local = F.when(F.col("is_boundary") == 1, 1 - F.col("n_reach") / F.col("n_traj")).otherwise(F.lit(0.0))
     return out.select(
         "prompt_id",

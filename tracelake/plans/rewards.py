@@ -9,6 +9,7 @@ from tracelake.core import table
 from tracelake.operators import aggregates as A
 from tracelake.operators import joins as J
 from tracelake.operators import windows as W
+from tracelake.operators.credit import credited
 from tracelake.plans.common import REWARDS, ROLLOUTS, rewards, rollouts
 
 Q: dict = {}
@@ -152,15 +153,9 @@ def segment_baselines(spark, d):
     )
 
 
-def _credited(spark, d, eps: float | None = None) -> DataFrame:
-    """Turns with both group baselines and the group-relative local credit at boundaries."""
-    t = turn_table(spark, d)
-    t = t.withColumn("ordinal", F.when(F.col("is_boundary") == 1, W.segment_ends("is_boundary", ["request_id"], "turn")))
-    # Aggregates per group and a join back: a hot case never gathers its rows in one window.
-    rows = t.groupBy("case_id").agg(F.avg("score").alias("row_baseline"))
-    traj = t.groupBy("case_id", "request_id").agg(F.max("score").alias("s")).groupBy("case_id").agg(F.avg("s").alias("traj_baseline"), F.count("*").alias("n_traj"))
-    reach = t.where("ordinal is not null").groupBy("case_id", "ordinal").agg(F.count("*").alias("n_reach"))
-    return t.join(rows, "case_id").join(traj, "case_id").join(reach, ["case_id", "ordinal"], "left")
+def _credited(spark, d) -> DataFrame:
+    """Turns with both group baselines and what their group reaches at the same boundary."""
+    return credited(turn_table(spark, d), "case_id", "request_id", "turn", "is_boundary", "score")
 
 
 CREDIT = f"""{TURNS}, oo as (select *, case when is_boundary = 1 then sum(is_boundary) over (partition by request_id order by turn) end ordinal from tt),
