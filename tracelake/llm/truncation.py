@@ -58,8 +58,8 @@ def _read(batches):
             state, why, token = ending(text)
             docs.append((doc, source, state, why, token.lower(), len(text or ""), len((text or "").encode())))
             found = _WORD.findall((text or "").lower())
-            if token and found and found[-1] == token.lower():
-                found.pop()  # the final token is what is in question
+            if state == "open" and token and found and found[-1] == token.lower():
+                found.pop()  # the broken word itself is what is in question
             words.update(found)
         flush = len(words) > _FLUSH
         yield _rows(docs, words if flush else {})
