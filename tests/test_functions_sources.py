@@ -99,3 +99,25 @@ def test_stream_dedupe_and_attempts(spark, tmp_path):
     seen = []
     st.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert {r.request_id: (r.attempts, r.state) for r in seen} == {"0": (2, "queued_retry"), "1": (2, "completed"), "2": (2, "queued_retry")}
+
+
+def test_nested_walks(spark):
+    from tracelake.functions.nested import is_error_json, reports_error, sanitize, sanitized_json
+
+    v = sanitize({"a": "fl-12ab34cd and fl-12ab34cd, x@y.org", "token": "s", "l": ["fl-99ab34cd"], "n": None})
+    assert v == {"a": "<id_1> and <id_1>, <email_1>", "token": "<masked>", "l": ["<id_2>"], "n": None}
+    assert reports_error({"x": '{"error": "no"}'}) and not reports_error({"schema": {"error": "text"}}) and not reports_error({"error": None})
+    assert one(spark, sanitized_json(F.col("n")), n='{"b": 1, "a": "q@r.de"}') == '{"a": "<email_1>", "b": 1}'
+    assert one(spark, is_error_json(F.col("n")), n="HTTP 503 upstream busy") is True
+
+
+def test_chat_scalars(spark):
+    from tracelake.operators import chat as C
+
+    d = spark.createDataFrame([([1, 2, 0, 3, 0, 4], [False, True]), ([1, 0], [True, True])], "ids array<int>, sup array<boolean>")
+    assert [r.m for r in d.select(C.eos_mask(F.col("ids"), 0, F.col("sup")).alias("m")).collect()] == [[0, 0, 0, 1, 1, 0], None]
+    j = spark.createDataFrame([({"a": "ok"},), ({"a": "ok", "b": "bad"},), ({},), (None,)], "j map<string,string>")
+    assert [r.x for r in j.select(C.judged_ok(F.col("j")).alias("x")).collect()] == [True, False, False, False]
+    assert one(spark, C.effort(F.col("a"), F.col("b")), a=" ", b="High") == "high" and one(spark, C.effort(F.col("a")), a="extreme") is None
+    m = spark.createDataFrame([([("user", "x"), ("assistant", "done")],), ([("tool_call", '{"name": "transfer_to_human"}')],), ([("user", "x")],), ([],)], "m array<struct<role: string, content: string>>")
+    assert [r.x for r in m.select(C.proper_ending(F.col("m")).alias("x")).collect()] == [True, True, False, False]

@@ -86,3 +86,34 @@ def padded(tokens: Column, length: int, pad: int) -> Column:
 def compressed_history(role: Column, content: Column, keep_roles: list[str], limit: int) -> Column:
     """Roles on the list stay whole, the rest is cut after ``limit`` characters."""
     return F.when(role.isin(*keep_roles), content).otherwise(F.substring(content, 1, limit))
+
+
+def eos_mask(ids: Column, eos: int, supervised: Column) -> Column:
+    """Loss mask of a rendered sample: tokens belong to the segment that the next end marker closes, and a
+    segment counts if its message is supervised; tokens behind the last marker never do.
+
+    Null where the number of markers is not the number of messages.
+    """
+    closed = F.transform(ids, lambda t, i: F.size(F.filter(F.slice(ids, 1, i), lambda x: x == eos)))
+    n = F.size(F.filter(ids, lambda t: t == eos))
+    mask = F.transform(closed, lambda k: F.coalesce(F.try_element_at(supervised, k + 1).cast("int"), F.lit(0)))
+    return F.when(n == F.size(supervised), mask)
+
+
+def judged_ok(judges: Column) -> Column:
+    """A non-empty map of judges whose severities are all ok."""
+    return F.coalesce((F.cardinality(judges) > 0) & F.forall(F.map_values(judges), lambda v: v == "ok"), F.lit(False))
+
+
+def effort(*fields: Column, default: str = "low", allowed: tuple[str, ...] = ("low", "medium", "high")) -> Column:
+    """First field that says something, else the default; null for a value that is not allowed."""
+    v = F.coalesce(*[F.nullif(F.lower(F.trim(f)), F.lit("")) for f in fields], F.lit(default))
+    return F.when(v.isin(*allowed), v)
+
+
+def proper_ending(messages: Column, allow_open: bool = False) -> Column:
+    """Whether the last message ends a record: a text of the assistant, a lone call to a hand-over tool, or anything if open."""
+    last = F.try_element_at(messages, F.lit(-1))
+    text = (last["role"] == "assistant") & (F.coalesce(F.length(F.trim(last["content"])), F.lit(0)) > 0)
+    handover = (last["role"] == "tool_call") & F.coalesce(F.get_json_object(last["content"], "$.name").rlike("(?i)transfer|hand_?over"), F.lit(False))
+    return F.coalesce(text | handover, F.lit(False)) | F.lit(allow_open)

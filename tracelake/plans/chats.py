@@ -231,6 +231,23 @@ def mask_mode_ablation(spark, d):
     return j.groupBy("mask_mode").agg(F.count("*").alias("n_messages"), F.sum(F.when(F.col("mask_mode") == "source", F.coalesce("loss", F.lit(True)).cast("int")).otherwise(1)).alias("n_supervised"))
 
 
+@query(f"""with {CHATS}, s as (select record_id, arg_max({{'r': msg_role, 'c': content}}, msg_pos) s from ch group by 1), l as (select record_id, s.r r, s.c c from s) select record_id, coalesce(r = 'assistant' and length(trim(c)) > 0, false) or coalesce(r = 'tool_call' and regexp_matches(json_extract_string(case when json_valid(c) then c end, '$.name'), 'transfer|hand_?over', 'i'), false) is_proper from l""")
+def terminal_contract(spark, d):
+    m = chats(spark, d).groupBy("record_id").agg(F.max_by(F.struct(F.col("msg_role").alias("role"), "content"), "msg_pos").alias("last"))
+    return m.select("record_id", C.proper_ending(F.array("last")).alias("is_proper"))
+
+
+@query()
+def sanitized_responses(spark, d):
+    """Tool responses with identifiers replaced by numbered labels, and whether they report an error."""
+    from tracelake.core import delivered_once, ship
+    from tracelake.functions.nested import is_error_json, sanitized_json
+
+    ship(spark)
+    e = delivered_once(table(spark, d, "tool_events").select("event_id", "response", "ingested_at"), "event_id").where("response is not null")
+    return e.select("event_id", sanitized_json("response").alias("sanitized"), is_error_json("response").alias("is_error"))
+
+
 def queries():
     return dict(Q)
 
