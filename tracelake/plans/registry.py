@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("advantage", "rewards", "tools", "chats", "cases", "documents", "graphs")
+_MODULES: tuple[str, ...] = ("advantage", "rewards", "tools", "chats", "cases", "documents", "graphs", "extras")
 
 
 def _merged(name: str) -> dict:
