@@ -103,5 +103,20 @@ where length(content) > coalesce(p.seq_length, d.len)
 """
 
 
+_NOBODY = ", ".join(f"'{v}'" for v in splits.NOBODY)
+_ACCT = r"^([a-z]+)[\s_:#./-]*([0-9]+)$"
+P4_FOUND = rf"""
+with recursive a as (select case_id, lower(trim(author_id)) v from dataset_cases where lower(trim(author_id)) not in ({_NOBODY})),
+ak as (select case_id, 'a:' || case when regexp_matches(v, '{_ACCT}') then regexp_extract(v, '{_ACCT}', 1) || '-' || nullif(ltrim(regexp_extract(v, '{_ACCT}', 2), '0'), '') else v end e from a),
+tk as (select case_id, 't:' || lower(regexp_replace(origin_trace_id, '[\s{{}}-]+', '', 'g')) e from dataset_cases
+       where lower(trim(origin_trace_id)) not in ({_NOBODY}) and not regexp_matches(lower(regexp_replace(origin_trace_id, '[\s{{}}-]+', '', 'g')), '^(0x)?(0*|f*)$')),
+fk as (select case_id, 'f:' || lower(trim(f)) e from (select case_id, unnest(seed_files) f from dataset_cases) where lower(trim(f)) not in ({_NOBODY}) and not regexp_matches(lower(trim(f)), '^(tmpl|template|blank)\b|\bblank\b')),
+k as (select * from ak union select * from tk union select * from fk),
+ed as (select distinct x.case_id u, y.case_id v from k x join k y on x.e = y.e and x.case_id <> y.case_id),
+r as (select u, v from ed union select r.u, ed.v from r join ed on r.v = ed.u)
+select distinct u case_id_a, v case_id_b from r where u < v
+"""
+
+
 def oracle_sql():
-    return {"p3_found": P3_FOUND}
+    return {"p3_found": P3_FOUND, "p4_found": P4_FOUND}
