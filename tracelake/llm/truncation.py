@@ -99,7 +99,9 @@ def judge_endings(docs: DataFrame) -> DataFrame:
         h = h.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         h = h.where((F.col("n_at") >= LIMIT_COUNT) & (F.col("n_at") >= LIMIT_SHARE * F.col("n_open")))
         limits.append(h.select(F.col("source").alias(f"s_{col}"), F.col(col).alias(f"v_{col}"), F.lit(True).alias(f"at_{col}")))
-    j = d.join(seen, "token", "left")
+    # Most texts end properly and ask for no word; they stay out of the join, where they would be one hot key.
+    j = d.where("token <> ''").join(seen, "token", "left")
+    j = j.unionByName(d.where("token = ''").withColumn("unknown_prefix", F.lit(False)))
     for col, lim in zip(("n_chars", "n_bytes"), limits):
         j = j.join(lim, F.col("source").eqNullSafe(F.col(f"s_{col}")) & (F.col(col) == F.col(f"v_{col}")), "left")
     prefix = F.coalesce("unknown_prefix", F.lit(False))
