@@ -280,14 +280,44 @@ def continues(text: str, following: str | None) -> bool:
     return following is not None and following.startswith(text) and sum(c.isalnum() for c in following[len(text) :]) >= 2
 
 
+#: Share of a text that must agree with a sorted neighbour which continues it in other words, and its least length.
+NEAR_SHARE, NEAR_LEAST = 0.6, 12
+
+
+def common_prefix(a: str, b: str | None) -> int:
+    if b is None:
+        return 0
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[:mid] == b[:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def runs_on(text: str, other: str | None) -> bool:
+    """Whether a neighbour goes the same way for most of the text and is longer behind the fork."""
+    if other is None or len(text) < NEAR_LEAST:
+        return False
+    k = common_prefix(text, other)
+    return NEAR_SHARE * len(text) <= k < len(text) and len(other) - k > len(text) - k + 2
+
+
 def _neighbours(batches):
-    part, pending, first = TaskContext.get().partitionId(), [], True
+    part, pending, first, prev = TaskContext.get().partitionId(), [], True, None
     for b in batches:
         out = []
         for text, asked in zip(b.column("text").to_pylist(), b.column("asked").to_pylist()):
             # Extensions of a text follow it directly, so the texts still waiting are nested prefixes.
             while pending and not text.startswith(pending[-1]):
-                pending.pop()
+                x = pending.pop()
+                if runs_on(x, text):
+                    out.append((x, True, None, part))
             waiting = []
             for x in pending:
                 if continues(x, text):
@@ -299,7 +329,11 @@ def _neighbours(batches):
                 out.append((text, False, "first", part))
                 first = False
             if asked:
-                pending.append(text)
+                if runs_on(text, prev):
+                    out.append((text, True, None, part))
+                else:
+                    pending.append(text)
+            prev = text
         yield _neigh_batch(out)
     yield _neigh_batch([(x, False, "waiting", part) for x in pending])
 
