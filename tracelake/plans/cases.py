@@ -24,14 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-_CA = "ca as (select case_id, coalesce(metadata.skill_domain, regexp_extract(case_id, '^([a-z]+)-', 1)) stratum, coalesce(metadata.difficulty, 'none') difficulty, metadata.tags tags, dataset_name, created_at, cast(regexp_extract(case_id, '([0-9]+)$', 1) as bigint) position from dataset_cases)"
+_CA = "ca as (select case_id, coalesce(metadata.skill_domain, regexp_extract(case_id, '^([a-z]+)-', 1)) stratum, coalesce(metadata.difficulty, 'none') difficulty, metadata.tags tags, dataset_name, created_at, try_cast(regexp_extract(case_id, '([0-9]+)$', 1) as bigint) position from dataset_cases)"
 
 
 def cases(spark, d):
     c = table(spark, d, "dataset_cases")
     return c.select(
         "case_id", F.coalesce("metadata.skill_domain", F.regexp_extract("case_id", "^([a-z]+)-", 1)).alias("stratum"), F.coalesce("metadata.difficulty", F.lit("none")).alias("difficulty"),
-        F.col("metadata.tags").alias("tags"), "dataset_name", F.regexp_extract("case_id", "([0-9]+)$", 1).cast("bigint").alias("position"),
+        F.col("metadata.tags").alias("tags"), "dataset_name", F.regexp_extract("case_id", "([0-9]+)$", 1).try_cast("bigint").alias("position"),
     )
 
 

@@ -41,7 +41,7 @@ def span_session_rollup(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("user_id").agg(
         F.count("*").alias("n"), F.count_distinct("event_type").alias("n_types"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("max_value"),
-        F.max_by("event_id", F.struct("value", "event_id")).alias("last_of_max"), F.max(F.get_json_object("props", "$.k").cast("bigint")).alias("max_k"),
+        F.max_by("event_id", F.struct("value", "event_id")).alias("last_of_max"), F.max(F.get_json_object("props", "$.k").try_cast("bigint")).alias("max_k"),
     )
 
 

@@ -44,7 +44,7 @@ def parse_training_log(lines: DataFrame, value: str = "value") -> DataFrame:
     """Typed columns of the iteration lines of a training log; other lines are dropped."""
     x = F.col(value)
     num = r"([-+0-9.]+(?:[eE][-+]?\d+)?)"
-    get = lambda p, t: F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast(t)
+    get = lambda p, t: F.nullif(F.regexp_extract(x, p, 1), F.lit("")).try_cast(t)
     return lines.where(x.contains("lm loss:")).select(
         *[c for c in lines.columns if c != value],
         get(r"iteration\s+(\d+)\s*/", "long").alias("step"),
