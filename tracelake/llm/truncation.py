@@ -2,9 +2,9 @@
 
 Plan
 ----
-1. One Arrow pass reads each text once.  It judges how the text ends (``endings``) and counts the
-   words inside it; counts leave the pass combined per task, texts never do.
-2. Corpus vocabulary trie as a table: the known words (seen at least KNOWN times inside texts)
+1. One Arrow pass reads each text once.  It judges how the text ends (``endings``) and counts the texts
+   of each word inside it; counts leave the pass combined per task, texts never do.
+2. Corpus vocabulary trie as a table: the known words (seen inside at least KNOWN texts)
    exploded into their proper prefixes, aggregated to one row per trie node.  Final tokens are
    looked up by a join, so the trie is spread over the cluster and never collected.
 3. Length evidence: per source, lengths (in code points and in bytes) at which unfinished texts pile up.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracelake.core import materialize, ship
 from tracelake.llm.endings import ending
 
-#: Times a word must occur inside texts to be known.
+#: Texts in which a word must occur to be known.
 KNOWN = 3
 #: A length is a limit of a source if this many unfinished texts, and this share of the source's, have it.
 LIMIT_COUNT, LIMIT_SHARE = 4, 0.05
@@ -60,7 +60,7 @@ def _read(batches):
             found = _WORD.findall((text or "").lower())
             if state == "open" and token and found and found[-1] == token.lower():
                 found.pop()  # the broken word itself is what is in question
-            words.update(found)
+            words.update(set(found))
         flush = len(words) > _FLUSH
         yield _rows(docs, words if flush else {})
         if flush:
