@@ -155,6 +155,12 @@ def fill_windows(docs: DataFrame, providers: DataFrame, folder: str = TOKENIZERS
     return spread.groupBy("provider_id", "shard").applyInPandas(_pack_shard, _PLACED)
 
 
+def windows(filled: DataFrame) -> DataFrame:
+    """One row per window: its capacity, the tokens in it, the room left and the number of parts."""
+    w = filled.groupBy("provider_id", "shard", "window").agg(F.max("seq_length").alias("seq_length"), F.sum("n_tokens").alias("used"), F.count("*").alias("n_parts"))
+    return w.withColumn("unused", F.col("seq_length") - F.col("used"))
+
+
 def window_report(filled: DataFrame) -> DataFrame:
     """Per provider: windows, tokens, unused share of all capacity, texts and divided texts."""
     w = filled.groupBy("provider_id", "shard", "window").agg(F.max("seq_length").alias("cap"), F.sum("n_tokens").alias("used"), F.count("*").alias("n"))
