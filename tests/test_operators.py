@@ -227,6 +227,23 @@ def test_shifted_labels(spark):
     assert [(r.l, r.k) for r in d.select(lab.alias("l"), mask.alias("k")).collect()] == [([6, 7, 0], [1, 1, 0]), ([0], [0])]
 
 
+def test_label_shift_takes_long_messages(spark, tmp_path):
+    from tracelake.plans import chats as Q
+
+    texts = ["one three fives", "a", "", None, "word to tokens " * 400, "x" * 201]
+    data = [(i, "r", i, "user", t, None, None, None, None) for i, t in enumerate(texts)]
+    rows(spark, data, "message_id long, record_id string, msg_pos int, msg_role string, content string, loss boolean, tool_call_id string, provider_id string, ingested_at timestamp").write.parquet(f"{tmp_path}/chat_messages.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            tok = [len(x) for x in t.split(" ")]
+            mask = [int(x > 3) for x in tok[1:]] + [0]
+            labels = [n if m else 0 for n, m in zip(tok[1:] + [0], mask)]
+            want[i] = tuple(",".join(map(str, x)) for x in (mask, labels, range(len(tok)), (tok + [0] * 8)[:8]))
+    got = {r.message_id: (r["mask"], r["labels"], r["position_ids"], r["padded"]) for r in Q.Q["label_shift_and_padding_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_overlay_and_changes(spark):
     cur = rows(spark, [(1, "a", "x", "free"), (2, "b", "y", "shared"), (3, "c", "z", "kept")], "k int, name string, body string, m string")
     new = rows(spark, [(1, "A", "X"), (2, "B", "Y"), (3, "C", "Z"), (4, "D", "W")], "k int, name string, body string")

@@ -127,11 +127,8 @@ def whole_versus_exploded(spark, d):
     return e.join(s.groupBy("record_id").agg(F.sum(size).alias("slots_whole")), "record_id")
 
 
-@query(f"""with {CHATS}, t as (select message_id, string_split(content, ' ') w from ch where content is not null and length(content) <= 200), k as (select message_id, list_transform(w, lambda x: length(x)) tok from t), m as (select message_id, tok, list_transform(tok, lambda x: (x > 3)::int) mask from k),
-s as (select message_id, tok, list_concat(mask[2:], [0]) m2 from m) select message_id, array_to_string(m2, ',') mask, array_to_string(list_transform(range(1, len(tok) + 1), lambda i: case when m2[i] = 1 then tok[i + 1] else 0 end), ',') labels, array_to_string(list_transform(range(0, len(tok)), lambda i: i), ',') position_ids,
-array_to_string(list_concat(tok, list_transform(range(0, greatest(8 - len(tok), 0)), lambda i: 0))[1:8], ',') padded from s""")
-def label_shift_and_padding(spark, d):
-    c = chats(spark, d).where("content is not null and length(content) <= 200").select("message_id", F.transform(F.split("content", " "), lambda x: F.length(x)).alias("tok"))
+def _shifted(c):
+    c = c.where("content is not null").select("message_id", F.transform(F.split("content", " "), lambda x: F.length(x)).alias("tok"))
     labels, mask = C.shifted_labels(F.col("tok"), F.transform("tok", lambda x: (x > 3).cast("int")))
     return c.select(
         "message_id", F.array_join(mask, ",").alias("mask"), F.array_join(labels, ",").alias("labels"), F.array_join(F.sequence(F.lit(0), F.size("tok") - 1), ",").alias("position_ids"),
@@ -139,6 +136,20 @@ def label_shift_and_padding(spark, d):
     )
 
 
+@query(f"""with {CHATS}, t as (select message_id, string_split(content, ' ') w from ch where content is not null and length(content) <= 200), k as (select message_id, list_transform(w, lambda x: length(x)) tok from t), m as (select message_id, tok, list_transform(tok, lambda x: (x > 3)::int) mask from k),
+s as (select message_id, tok, list_concat(mask[2:], [0]) m2 from m) select message_id, array_to_string(m2, ',') mask, array_to_string(list_transform(range(1, len(tok) + 1), lambda i: case when m2[i] = 1 then tok[i + 1] else 0 end), ',') labels, array_to_string(list_transform(range(0, len(tok)), lambda i: i), ',') position_ids,
+array_to_string(list_concat(tok, list_transform(range(0, greatest(8 - len(tok), 0)), lambda i: 0))[1:8], ',') padded from s""")
+def label_shift_and_padding(spark, d):
+    """The short messages its SQL compares; ``label_shift_and_padding_whole`` takes every message."""
+    return _shifted(chats(spark, d).where("length(content) <= 200"))
+
+
+@query()  # the list functions of the SQL above are too slow on whole tables
+def label_shift_and_padding_whole(spark, d):
+    """Mask, labels, positions and padding of every message, however long."""
+    return _shifted(chats(spark, d))
+
+
 @query(f"with {CHATS}, l as (select message_id, coalesce(length(content), 0) n from ch) select message_id, n \"length\", cast(coalesce(sum(n) over (order by message_id rows between unbounded preceding and 1 preceding), 0) as bigint) \"offset\" from l")
 def exclusive_offsets(spark, d):
     c = chats(spark, d).select("message_id", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("length"))
