@@ -8,12 +8,16 @@ Plan
    exploded into their proper prefixes, aggregated to one row per trie node.  Final tokens are
    looked up by a join, so the trie is spread over the cluster and never collected.
 3. Length evidence: per source, lengths (in code points and in bytes) at which unfinished texts pile up.
-4. A text is cut if it ends in a mark of a cut or in an unclosed structure; if it ends in the middle
-   of a sentence; or if it ends like a signature, heading, file or reference but its final token is an
-   unknown proper prefix of known words.  ``evidence`` names what speaks for the cut.
+4. A text is cut if it ends in a mark of a cut, a stem or an unclosed structure.  Where only the final mark
+   of a sentence is missing, evidence decides: the final token is an unknown proper prefix of known words
+   (``word``), the text is as long as a limit (``limit``), or it ends in a comma, a joining word or a word
+   that the corpus has inside sentences but not at their ends (``inside``).  A text that ends like a
+   signature, heading, file, reference or link is cut if its final token is an unknown proper prefix or
+   the text is as long as a limit.
+   ``evidence`` names what speaks for the cut.
 
 Defined results: null and empty texts are not cut; a null source is a source of its own; a text as
-long as a limit that ends properly is not cut; a doc_id delivered twice counts once.
+long as a limit that ends in a whole sentence or structure is not cut; a doc_id delivered twice counts once.
 """
 
 from __future__ import annotations
@@ -22,50 +26,78 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.core import materialize, ship
-from tracelake.llm.endings import ending
+from tracelake.llm.endings import _CLOSERS, _SPACE, ending
 
 #: Texts in which a word must occur to be known.
 KNOWN = 3
 #: A length is a limit of a source if this many unfinished texts, and this share of the source's, have it.
 LIMIT_COUNT, LIMIT_SHARE = 4, 0.05
 _WORD = re.compile(r"[^\W_]{2,64}")
+#: It also stands out this much from the mean of so many lengths on either side.
+SPIKE_RATIO, SPIKE_WIDTH = 5, 10
+#: A word stands inside sentences if it is known in INNER_LEAST texts and ends a sentence in at most this share of them.
+INNER_LEAST, INNER_SHARE = 20, 0.01
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{5,}\Z")
+_END = re.compile(r"[.!?。！？；\n]+")
+_WEAK_END = re.compile(r"(?:[,，、;:：(（\[{—–=+&/-]|\s[-–—])\Z")
 _FLUSH = 200_000
 
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("why", pa.string()), ("token", pa.string())]
-    + [("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("word", pa.string()), ("n", pa.int64())]
+    + [("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("weak", pa.bool_()), ("word", pa.string()), ("n", pa.int64()), ("n_end", pa.int64())]
 )
-_DDL = "doc_id long, source string, state string, why string, token string, n_chars long, n_bytes long, word string, n long"
+_DDL = "doc_id long, source string, state string, why string, token string, n_chars long, n_bytes long, weak boolean, word string, n long, n_end long"
 
 
-def _rows(docs, words):
-    cols = [list(c) for c in zip(*docs)] if docs else [[] for _ in range(7)]
+def _rows(docs, words, ends):
+    cols = [list(c) for c in zip(*docs)] if docs else [[] for _ in range(8)]
     k, w = len(docs), len(words)
-    cols = [c + [None] * w for c in cols] + [[None] * k + list(words), [None] * k + list(words.values())]
+    cols = [c + [None] * w for c in cols] + [[None] * k + list(words), [None] * k + list(words.values()), [None] * k + [ends[x] for x in words]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
 
 
+def last_word(t: str) -> str:
+    """The unit that is looked up as the end of a sentence: the final word, or the final character of Chinese."""
+    i = len(t)
+    while i and t[i - 1].isalnum():
+        if "\u3400" <= t[-1] <= "\u9fff":
+            return t[-1]
+        i -= 1
+    return t[i:]
+
+
+def sentence_ends(t: str) -> set[str]:
+    """Last words of the sentences and lines of a text that has been put in lower case."""
+    return {last_word(x[-40:].rstrip(_CLOSERS + _SPACE)) for x in _END.split(t)[:-1]} - {""}
+
+
 def _read(batches):
     words: Counter = Counter()
+    ends: Counter = Counter()
     for b in batches:
         docs = []
         for doc, source, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "source", "text")]):
             state, why, token = ending(text)
-            docs.append((doc, source, state, why, token.lower(), len(text or ""), len((text or "").encode())))
-            found = _WORD.findall((text or "").lower())
+            low = (text or "").lower()
+            weak = state == "open" and bool(_WEAK_END.search(low.rstrip(_SPACE)))
+            docs.append((doc, source, state, why, token.lower(), len(text or ""), len((text or "").encode()), weak))
+            found = _WORD.findall(low)
             if state == "open" and token and found and found[-1] == token.lower():
                 found.pop()  # the broken word itself is what is in question
-            words.update(set(found))
+            here = set(found)
+            if not low.isascii():
+                here.update(c for c in set(low) if "\u3400" <= c <= "\u9fff")
+            words.update(here)
+            ends.update(sentence_ends(low) & here)
         flush = len(words) > _FLUSH
-        yield _rows(docs, words if flush else {})
+        yield _rows(docs, words if flush else {}, ends)
         if flush:
-            words = Counter()
-    yield _rows([], words)
+            words, ends = Counter(), Counter()
+    yield _rows([], words, ends)
 
 
 def trie_nodes(words: DataFrame) -> DataFrame:
@@ -82,35 +114,51 @@ def judge_endings(docs: DataFrame) -> DataFrame:
     read = materialize(src.mapInArrow(_read, _DDL), "endings")
     d = (
         read.where("word is null and state is not null").groupBy("doc_id")
-        .agg(F.min(F.struct("source", "state", "why", "token", "n_chars", "n_bytes")).alias("r")).select("doc_id", "r.*")
+        .agg(F.min(F.struct("source", "state", "why", "token", "n_chars", "n_bytes", "weak")).alias("r")).select("doc_id", "r.*")
     )
-    words = read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    words = read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
     nodes = trie_nodes(words)
     asked = d.where("token <> ''").select("token").distinct()
     known = asked.join(words, F.col("token") == F.col("word"), "left").select("token", F.coalesce("n", F.lit(0)).alias("n_known"))
     seen = known.join(nodes, F.col("token") == F.col("prefix"), "left").select(
-        "token", ((F.col("n_known") < KNOWN) & (F.coalesce("n_below", F.lit(0)) >= KNOWN)).alias("unknown_prefix")
+        "token", ((F.col("n_known") < KNOWN) & (F.coalesce("n_below", F.lit(0)) >= KNOWN) & ~F.col("token").rlike("^[0-9]+$")).alias("unknown_prefix")
     )
+    # In Chinese the final character is looked up instead of the run of characters.
+    last = F.when(F.col("token").rlike(r"[\u3400-\u9fff]$"), F.right("token", F.lit(1))).otherwise(F.col("token"))
+    inner = words.where((F.col("n") >= INNER_LEAST) & (F.col("n_end") <= INNER_SHARE * F.col("n")) & ~F.col("word").rlike("[0-9]"))
+    inner = asked.withColumn("last", last).join(inner.select(F.col("word").alias("last"), F.lit(True).alias("inner")), "last", "left").select("token", F.coalesce("inner", F.lit(False)).alias("inner"))
+    seen = seen.join(inner, "token")
     is_open = F.col("state") == "open"
     per_source = d.groupBy("source").agg(F.count_if(is_open).alias("n_open"))
     limits = []
     for col in ("n_chars", "n_bytes"):
         h = d.where(is_open).groupBy("source", col).agg(F.count("*").alias("n_at"))
+        h = h.withColumn("n_beside", F.sum("n_at").over(Window.partitionBy("source").orderBy(col).rangeBetween(-SPIKE_WIDTH, SPIKE_WIDTH)) - F.col("n_at"))
         h = h.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         h = h.where((F.col("n_at") >= LIMIT_COUNT) & (F.col("n_at") >= LIMIT_SHARE * F.col("n_open")))
+        h = h.where(F.col("n_at") * 2 * SPIKE_WIDTH >= SPIKE_RATIO * F.col("n_beside"))
         limits.append(h.select(F.col("source").alias(f"s_{col}"), F.col(col).alias(f"v_{col}"), F.lit(True).alias(f"at_{col}")))
     # Most texts end properly and ask for no word; they stay out of the join, where they would be one hot key.
     j = d.where("token <> ''").join(seen, "token", "left")
-    j = j.unionByName(d.where("token = ''").withColumn("unknown_prefix", F.lit(False)))
+    j = j.unionByName(d.where("token = ''").withColumn("unknown_prefix", F.lit(False)).withColumn("inner", F.lit(False)))
     for col, lim in zip(("n_chars", "n_bytes"), limits):
         j = j.join(lim, F.col("source").eqNullSafe(F.col(f"s_{col}")) & (F.col(col) == F.col(f"v_{col}")), "left")
     prefix = F.coalesce("unknown_prefix", F.lit(False))
     limit = F.coalesce("at_n_chars", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
-    half = (F.col("state") == "closed") & F.col("why").isin("signature", "heading", "file", "reference", "link") & prefix & (F.length("token") >= 2)
+    half = (F.col("state") == "closed") & F.col("why").isin("signature", "heading", "file", "reference", "link") & ((prefix & (F.length("token") >= 2)) | limit)
+    inside = F.col("weak") | (F.col("inner") & ~prefix)
+    # A mark of a cut or an open structure speaks for itself; a sentence without its final mark does not.
+    is_cut = half | (is_open & ((F.col("why") != "sentence") | prefix | limit | inside))
     evidence = F.array_join(
-        F.array_compact(F.array(F.when(is_open, F.col("why")), F.when(prefix & (is_open | half), F.lit("word")), F.when(limit & is_open, F.lit("limit")))), "+"
-    )
-    return j.select("doc_id", "source", "n_chars", (is_open | half).alias("is_cut"), evidence.alias("evidence"))
+        F.array_compact(
+            F.array(
+                F.when(is_open | half, F.col("why")), F.when(prefix & (is_open | half), F.lit("word")), F.when(limit & (is_open | half), F.lit("limit")),
+                F.when(is_open & (F.col("why") == "sentence") & inside, F.lit("inside")),
+            )
+        ),
+        "+",
+    )
+    return j.select("doc_id", "source", "n_chars", is_cut.alias("is_cut"), F.when(is_cut, evidence).otherwise("").alias("evidence"))
 
 
 def found(docs: DataFrame) -> DataFrame:
