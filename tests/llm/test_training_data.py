@@ -281,6 +281,26 @@ def test_leaks(spark):
     assert leaks.found(d.where("false"), items(spark)).count() == 0
 
 
+def test_leaks_with_other_parameters(spark):
+    new = ITEM
+    for a, b in (("Zorquil", "Quam"), ("809", "12"), ("565", "9"), ("Miptur", "Velt"), ("Drifen", "Borun"), ("Ricfen", "Sollit")):
+        new = new.replace(a, b)
+    d = spark.createDataFrame([(1, "Intro. " + ITEM), (2, "Intro. " + new + " End."), (3, "plain text " * 30)], "doc_id long, text string")
+    got = {r.doc_id: r for r in leaks.leaks(d, items(spark)).where("item_id = 'e1'").collect()}
+    assert sorted(got) == [1, 2] and got[1].share >= leaks.SHARE and not got[1].is_renamed and got[1].n_renamed == 0
+    assert got[2].is_renamed and got[2].n_renamed > 0 and got[2].n_other == 0 and got[2].share < leaks.SHARE
+    r = leaks.leak_report(d, items(spark)).where("item_id = 'e1'").collect()[0]
+    assert (r.n_docs, r.n_renamed) == (1, 1)
+
+
+def test_slot_agreement():
+    item = "if x is y then x of y".split()
+    common, hits = {"if", "is", "then", "of"}, [(i, i) for i in range(4)]
+    assert leaks.slot_agreement(item, "if p is q then p of q".split(), hits, common) == (4, 0, 4, 0)
+    assert leaks.slot_agreement(item, "if p is q then r of q".split(), hits, common) == (4, 0, 3, 1)
+    assert leaks.slot_agreement(item, "if p is p then p of p".split(), hits, common)[3] == 2
+
+
 def test_notation():
     assert leaks.tokens("Ｃａｆ\\u00e9 &amp; “x”") == ["café", "x"]
 

@@ -7,9 +7,11 @@ Plan
 2. Template canonicalisation: numbers become <N>, words that are not part of the items' common
    vocabulary (names, units, labels) become <X>; the tokens behind the placeholders are the slots.
    Every window of five canonical tokens gets a template hash and a slot hash.
-3. Hash join of the documents' windows with the items' windows on template and slots: windows
-   that agree on the template but not on the slots are other parameters of the same pattern, and are
-   counted apart (``leak_report``).  The items' windows are bounded by the evaluation set, whose size
+3. Hash join of the documents' windows with the items' windows on the template; windows that agree on
+   the slots too are literal.  Where enough of an item's templates meet in one passage its slots are
+   compared: the same, renamed consistently, or otherwise.  Consistently renamed ones are the pattern
+   with other parameters, counted apart (``leaks``, ``leak_report``), also for every other item of the
+   same pattern; ``found`` needs literal windows only and joins on template and slots.  The items' windows are bounded by the evaluation set, whose size
    is checked; within the bound they travel to the scan as a sorted array, so that documents without
    any template window never leave it; beyond the bound all windows are joined.
 4. The few pairs with consistent windows are aligned token by token around the densest place, and the
@@ -38,6 +40,8 @@ WINDOW = 5
 #: Share of the item's own text that makes a leak.
 SHARE = 0.29
 MIN_TOKENS = 12
+#: Share of an item's windows whose templates make its pattern, and share of slots that may go against the renaming.
+PATTERN_SHARE, SLIPS = 0.3, 0.2
 #: Items and windows up to which the evaluation set travels to the scan.
 MAX_ITEMS, MAX_WINDOWS = 200_000, 20_000_000
 #: Items in which a word occurs at least to be part of the patterns rather than a slot.
@@ -136,22 +140,54 @@ def own_tokens(item_text: str, stock: set[str]) -> list[str]:
     return [t for s in _SENTENCE.split(item_text or "") if notation(s).strip() not in stock for t in tokens(s)]
 
 
-def covered(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> float:
-    """Share of the item's characters found in the document around its densest hits.
-
-    ``hits`` are (position in the item, position in the document) of consistent windows.  Only
-    runs of several tokens count, so words that any text has do not add up.
-    """
-    n = len(item)
-    hits = sorted(hits, key=lambda h: h[1])
+def densest(hits: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The run of hits, without gaps of ``n`` tokens in the document, that holds most places of the item."""
     best: list[tuple[int, int]] = []
     cur: list[tuple[int, int]] = []
-    for h in hits:
+    for h in sorted(hits, key=lambda h: h[1]):
         if cur and h[1] - cur[-1][1] > n:
             cur = []
         cur.append(h)
         if len({x for x, _ in cur}) > len({x for x, _ in best}):
             best = list(cur)
+    return best
+
+
+def slot_agreement(item: list[str], doc: list[str], hits: list[tuple[int, int]], common: set[str]) -> tuple[int, int, int, int]:
+    """(places of the item, slots the same, renamed consistently, otherwise) in its densest passage.
+
+    A renaming is consistent if a value always becomes the same other value, and no two values the same one.
+    """
+    best = densest(hits, len(item))
+    at = sorted(d - i for i, d in best)[len(best) // 2]
+    place: dict[int, int] = {}
+    for i, d in best:
+        if i not in place or abs(d - i - at) < abs(place[i] - i - at):
+            place[i] = d
+    pairs: dict[int, tuple[str, str]] = {}
+    for i, d in sorted(place.items()):
+        for k in range(WINDOW):
+            if item[i + k].isdigit() or item[i + k] not in common:
+                pairs.setdefault(i + k, (item[i + k], doc[d + k]))
+    counts = Counter(pairs.values())
+    image: dict[str, str] = {}
+    origin: dict[str, str] = {}
+    for (a, b), _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        image.setdefault(a, b)
+        origin.setdefault(b, a)
+    same = sum(k for (a, b), k in counts.items() if a == b)
+    renamed = sum(k for (a, b), k in counts.items() if a != b and image[a] == b and origin[b] == a)
+    return len(place), same, renamed, len(pairs) - same - renamed
+
+
+def covered(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> float:
+    """Share of the item's characters found in the document around its densest hits.
+
+    ``hits`` are (position in the item, position in the document) of consistent windows.  Only
+    runs of several tokens count, so words that any text has do not add up.
+    """
+    n = len(item)
+    best = densest(hits, n)
     lo = max(0, min(d - i for i, d in best) - 8)
     lo = min(lo, max(0, best[0][1] - n))
     hi = min(len(doc), best[-1][1] + n + 8)
@@ -194,15 +230,27 @@ def _scan(common: set[str], templates: np.ndarray | None):
     return scan
 
 
-def _align(batches):
-    for b in batches:
-        ids, items, shares, n = [], [], [], []
-        for doc, item, it, dt, ip, dp in zip(*[b.column(c).to_pylist() for c in ("doc_id", "item_id", "item_tokens", "tokens", "item_pos", "doc_pos")]):
-            ids.append(doc)
-            items.append(item)
-            n.append(len(set(ip)))
-            shares.append(covered(it.split(" "), dt.split(" "), list(zip(ip, dp))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.string()), pa.array(n, pa.int32()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "n_windows", "share"])
+_ALIGNED = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.string()), ("n_windows", pa.int32()), ("share", pa.float64()), ("n_templates", pa.int32()), ("n_same", pa.int32()), ("n_renamed", pa.int32()), ("n_other", pa.int32()), ("is_renamed", pa.bool_())]
+)
+_ALIGNED_DDL = "doc_id long, item_id string, n_windows int, share double, n_templates int, n_same int, n_renamed int, n_other int, is_renamed boolean"
+
+
+def _align(common: set[str]):
+    def align(batches):
+        for b in batches:
+            rows = []
+            for doc, item, it, dt, hits, of in zip(*[b.column(c).to_pylist() for c in ("doc_id", "item_id", "item_tokens", "tokens", "hits", "n_item")]):
+                own, text = it.split(" "), dt.split(" ")
+                literal = [(h["item_pos"], h["doc_pos"]) for h in hits if h["literal"]]
+                share = covered(own, text, literal) if len(literal) >= 2 else 0.0
+                k, same, renamed, other = slot_agreement(own, text, [(h["item_pos"], h["doc_pos"]) for h in hits], common)
+                pattern = share < SHARE and k >= PATTERN_SHARE * of and renamed > 0 and other <= SLIPS * (same + renamed + other)
+                rows.append((doc, item, len({i for i, _ in literal}), share, k, same, renamed, other, pattern))
+            cols = list(zip(*rows)) if rows else [()] * len(_ALIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ALIGNED)], schema=_ALIGNED)
+
+    return align
 
 
 def prepare_items(items: DataFrame):
@@ -222,8 +270,12 @@ def prepare_items(items: DataFrame):
     return own, common
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, share) of every pair with consistent template windows."""
+def leaks(docs: DataFrame, items: DataFrame, patterns: bool = True) -> DataFrame:
+    """One row for every pair with two literal windows or, with ``patterns``, with PATTERN_SHARE of the item's templates.
+
+    ``n_windows`` and ``share`` are literal; ``n_templates`` and the slots (``n_same``, ``n_renamed``, ``n_other``) are
+    of the densest passage; ``is_renamed`` marks the item's pattern with other parameters.
+    """
     spark = docs.sparkSession
     ship(spark)
     own, common = prepare_items(items)
@@ -231,31 +283,36 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows, toks, templates = [], [], []
     for item, t in own:
         p, th, sh = canon.windows(t)
-        toks.append((item, " ".join(t)))
+        toks.append((item, " ".join(t), len(p)))
         templates.append(th)
         rows += list(zip([item] * len(p), p.tolist(), th.astype(np.int64).tolist(), sh.astype(np.int64).tolist()))
     known = np.unique(np.concatenate(templates)) if templates else np.empty(0, np.uint64)
-    item_w = spark.createDataFrame(rows, "item_id string, item_pos int, template long, slots long")
-    item_t = spark.createDataFrame(toks, "item_id string, item_tokens string")
+    item_w = spark.createDataFrame(rows, "item_id string, item_pos int, template long, item_slots long")
+    item_t = spark.createDataFrame(toks, "item_id string, item_tokens string, n_item int")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     scanned = materialize(
         src.mapInArrow(_scan(common, known if len(known) <= MAX_WINDOWS else None), "doc_id long, pos array<int>, template array<long>, slots array<long>, tokens string"), "windows"
     )
     exploded = scanned.select("doc_id", F.explode(F.arrays_zip("pos", "template", "slots")).alias("w")).select("doc_id", F.col("w.pos").alias("doc_pos"), "w.template", "w.slots")
-    pairs = exploded.join(item_w, ["template", "slots"]).groupBy("doc_id", "item_id").agg(
-        F.collect_list("item_pos").alias("item_pos"), F.collect_list("doc_pos").alias("doc_pos")  # at most the windows of one text
-    ).where(F.size("item_pos") >= 2)
+    literal = F.col("slots") == F.col("item_slots")
+    met = exploded.join(item_w, "template") if patterns else exploded.join(item_w.withColumn("slots", F.col("item_slots")), ["template", "slots"])
+    pairs = met.groupBy("doc_id", "item_id").agg(
+        F.collect_list(F.struct("item_pos", "doc_pos", literal.alias("literal"))).alias("hits"), F.count_if(literal).alias("n_literal")  # at most the windows of one text
+    )
+    enough = F.col("n_literal") >= 2
+    if patterns:
+        enough = enough | (F.size(F.array_distinct("hits.item_pos")) >= PATTERN_SHARE * F.col("n_item"))
     once = scanned.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
-    full = pairs.join(once, "doc_id").join(item_t, "item_id").select("doc_id", "item_id", "item_tokens", "tokens", "item_pos", "doc_pos")
-    return full.mapInArrow(_align, "doc_id long, item_id string, n_windows int, share double")
+    full = pairs.join(item_t, "item_id").where(enough).join(once, "doc_id").select("doc_id", "item_id", "item_tokens", "tokens", "hits", "n_item")
+    return full.mapInArrow(_align(common), _ALIGNED_DDL)
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return leaks(docs, items).where(F.col("share") >= SHARE).select("doc_id", "item_id")
+    return leaks(docs, items, patterns=False).where(F.col("share") >= SHARE).select("doc_id", "item_id")
 
 
 def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per item: documents that hold it, and documents that only quote some words of it."""
+    """Per item: documents that hold it, documents that quote some words of it, and those with its pattern under other parameters."""
     return leaks(docs, items).groupBy("item_id").agg(
-        F.count_if(F.col("share") >= SHARE).alias("n_docs"), F.count_if(F.col("share") < SHARE).alias("n_touched"), F.round(F.max("share"), 6).alias("most")
+        F.count_if(F.col("share") >= SHARE).alias("n_docs"), F.count_if((F.col("share") < SHARE) & (F.col("n_windows") >= 1)).alias("n_touched"), F.count_if("is_renamed").alias("n_renamed"), F.round(F.max("share"), 6).alias("most")
     )
