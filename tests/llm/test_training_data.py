@@ -96,6 +96,18 @@ def test_pair_defects(spark):
     assert pairs.found(d.where("false")).count() == 0
 
 
+def test_length_spikes(spark):
+    flat = [(n, 30) for n in range(100, 200)]
+    at = [*flat[:45], (145, 300), *flat[46:], (2000, 30), (2004, 1), (40, 3)]
+    got = {r.n_chars for r in pairs.length_spikes(spark.createDataFrame(at, "n_chars int, n_at long")).collect()}
+    assert got == {145, 2000}
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [(f"r{i}", "What happened to every item of the plan?", " ".join(word() for _ in range(260))[:2000], T0) for i in range(25)]
+    d = spark.createDataFrame(rows, "request_id string, question string, answer string, ingested_at timestamp")
+    assert {r.defect for r in pairs.found(d).collect()} == {"truncated"} and pairs.found(d).count() == 25
+
+
 def test_shortened_texts_across_partitions(spark):
     texts = [(f"w{i:03d} some longer text", False) for i in range(300)] + [(f"w{i:03d} some", True) for i in range(0, 300, 7)] + [("zzz", True)]
     d = spark.createDataFrame(texts, "text string, asked boolean").repartition(7)

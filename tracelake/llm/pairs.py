@@ -11,7 +11,7 @@ Plan
    neighbour continues is a shortened version.  Texts that end in the middle of something enter
    whole and by their last unit and clause, with and without the last, possibly broken word.  First texts of a partition are
    handed to the partition before over a table of two rows a partition.
-3. Length-limit spikes: lengths at which unfinished answers pile up.
+3. Length-limit spikes: lengths at which unfinished answers pile up, against the lengths on either side.
 4. ``truncated`` is an answer with an unfinished ending that is a shortened version of others, sits at
    a spike, or leaves a structure open.  Rules for copies, refusals and languages give the others.
 
@@ -356,6 +356,20 @@ def shortened_texts(texts: DataFrame, name: str = "neighbours") -> DataFrame:
     return inside.unionByName(edge.where(F.expr("startswith(following, text)") & more).select("text"))
 
 
+#: A length is a spike if it has so many times the mean of the WIDTH lengths on either side (itself left out, absent lengths
+#: count zero) and lies so many of its random deviations above it.
+SPIKE_RATIO, SPIKE_WIDTH, SPIKE_DEVIATIONS = 5, 10, 6
+
+
+def length_spikes(at: DataFrame) -> DataFrame:
+    """(n_chars, n_at) unfinished answers per length -> lengths that stand out of their neighbourhood."""
+    near = at.select(F.explode(F.sequence(F.col("n_chars") - SPIKE_WIDTH, F.col("n_chars") + SPIKE_WIDTH)).alias("n_chars"), F.col("n_at").alias("n_near"))
+    near = near.groupBy("n_chars").agg(F.sum("n_near").alias("n_near"))
+    beside = (F.col("n_near") - F.col("n_at")) / (2 * SPIKE_WIDTH)
+    stands_out = (F.col("n_at") >= SPIKE_RATIO * beside) & (F.col("n_at") >= beside + SPIKE_DEVIATIONS * F.sqrt(beside + 1))
+    return at.join(near, "n_chars").where(stands_out).select("n_chars")
+
+
 def judge_pairs(rollouts: DataFrame) -> DataFrame:
     """(request_id, defect, evidence) for every rollout; defect is null for a sound pair."""
     ship(rollouts.sparkSession)
@@ -372,8 +386,7 @@ def judge_pairs(rollouts: DataFrame) -> DataFrame:
         F.max("structure").alias("structure"), F.max("n_chars").alias("n_chars"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("shortened")
     )
     at = p.where("is_open").groupBy("n_chars").agg(F.count_distinct("request_id").alias("n_at"))
-    around = F.avg("n_at").over(Window.partitionBy(F.floor(F.col("n_chars") / 50)).orderBy("n_chars").rowsBetween(-10, 10))
-    spikes = at.withColumn("usual", around).where("n_at >= 20 and n_at >= 5 * usual").select("n_chars", F.lit(True).alias("spike"))
+    spikes = length_spikes(at).withColumn("spike", F.lit(True))
     cut = hit.join(spikes, "n_chars", "left").select("request_id", "structure", "shortened", F.coalesce("spike", F.lit(False)).alias("spike"))
     d = p.select("request_id", "defect", "is_open").dropDuplicates(["request_id"]).join(cut, "request_id", "left")
     truncated = F.col("is_open") & (F.col("structure") | F.col("shortened") | F.col("spike"))
