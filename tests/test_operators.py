@@ -258,6 +258,28 @@ def test_greedy_cards(spark):
     assert got == [1, 3, 5, 2]
 
 
+def test_greedy_cards_brute_force(spark):
+    import random
+
+    rng, data, limit = random.Random(11), [], 4
+    for f in range(150):
+        n = rng.choice([3, 20, 60])
+        data += [(f, "hot" if rng.random() < 0.35 else f"c{rng.randrange(12)}", f"s{rng.randrange(1, 5)}", o) for o in rng.sample(range(1000), n)]
+    want = {}
+    for f in range(150):
+        d, taken, cs, ss = sorted((x for x in data if x[0] == f), key=lambda x: x[3]), [], set(), set()
+        for x in d:
+            if len(taken) < limit and x[1] not in cs and not (len(taken) * 2 >= limit and x[2] in ss):
+                taken.append(x)
+                cs.add(x[1])
+                ss.add(x[2])
+        want[f] = [x[3] for x in (taken + [x for x in d if x not in taken])[:limit]]
+    got = {}
+    for r in P.greedy_cards(rows(spark, data, "fam int, c string, sig string, o int"), "fam", "c", "sig", "o", limit).orderBy("fam", "slot").collect():
+        got.setdefault(r.fam, []).append(r.o)
+    assert got == want
+
+
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], "g string, v int")
     assert A.quantiles_upper(e, ["g"], "v").count() == 0 and A.distribution(e, "g").count() == 0

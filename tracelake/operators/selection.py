@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,30 +15,42 @@ def greedy_cards(cards: DataFrame, family: str, case: str, signature: str, order
     """Per family up to ``limit`` cards in order: one a case; once half is taken a signature only once; then
     what was passed over fills up.
 
-    What can be chosen is bounded before the cards of a family meet: of each case its first card of every
-    signature, and of each signature its first ``limit`` cards, so a family of any size is small here.
+    What can be chosen is bounded before the cards of a family meet, without changing the choice. A card behind
+    another of its case and signature is never chosen before the filling up. Of the rest, a card that is chosen
+    has only taken cases, or taken signatures, before it: fewer than ``limit`` of either, so it is among the first
+    ``limit`` of its case and of its signature. The filling up takes from the first ``limit`` cards of the family.
     """
     ship(cards.sparkSession)
-    per = cards.withColumn("_a", F.row_number().over(Window.partitionBy(family, case).orderBy(order))).where(F.col("_a") <= limit)
-    per = per.withColumn("_b", F.row_number().over(Window.partitionBy(family, signature).orderBy("_a", order))).where(F.col("_b") <= 2 * limit).select(family, case, signature, order)
+    cols = list(dict.fromkeys([family, case, signature, order]))
+    by = [F.col(order).asc_nulls_last(), F.col(case).asc_nulls_last(), F.col(signature).asc_nulls_last()]
+
+    def first(d: DataFrame, keys: list[str], n: int) -> DataFrame:
+        return d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= n).drop("_n")
+
+    narrow = cards.select(*cols)
+    candidates = first(narrow, [family, case, signature], 1)
+    candidates = first(first(candidates, [family, case], limit), [family, signature], limit)
+    per = candidates.withColumn("_fill", F.lit(False)).unionByName(first(narrow, [family], limit).withColumn("_fill", F.lit(True)))
 
     def choose(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(order, kind="stable")
+        d = d.sort_values([order, case, signature], kind="stable")
         taken, cases, signatures = [], set(), set()
-        for i, (c, s) in enumerate(zip(d[case], d[signature])):
+        for row in d.loc[~d["_fill"], cols].itertuples(index=False, name=None):
+            _, c, s, _ = row
             if len(taken) >= limit:
                 break
             if c in cases or (len(taken) * 2 >= limit and s in signatures):
                 continue
-            taken.append(i)
+            taken.append(row)
             cases.add(c)
             signatures.add(s)
-        for i in range(len(d)):
-            if len(taken) >= limit:
-                break
-            if i not in taken:
-                taken.append(i)
-        out = d.iloc[taken][[family, case, signature, order]].copy()
+        chosen = Counter(taken)
+        for row in d.loc[d["_fill"], cols].itertuples(index=False, name=None):
+            if chosen[row]:
+                chosen[row] -= 1
+            elif len(taken) < limit:
+                taken.append(row)
+        out = pd.DataFrame(taken, columns=cols)
         out["slot"] = range(1, len(out) + 1)
         return out
 
