@@ -343,14 +343,14 @@ def test_truncation(spark):
 
 
 def test_truncation_evidence_decides(spark):
-    whole = [(i, f"The checkpoint planner restored report {i} after the review. The judge read the report.", "s") for i in range(40)]
-    titles = [(100, "Total rows: 42", "s"), (101, "Quarterly review", "s")]
-    cuts = [(110, "The judge read the repo", "s"), (111, "After the review the", "s"), (112, "After the review,", "s")]
-    at = [(120 + k, ("judge " * k + "review report " * 9)[:60].rstrip() + "report" * 9, "t") for k in range(6)]
-    at = [(i, x[:58] + "ew", "t") for i, x, _ in at] + [(130, "Fine.\n\nhttps://example.org/" + "a" * 33, "t"), (131, "Fine.\n\nhttps://example.org/" + "a" * 20, "t")]
+    whole = [(i, f"The checkpoint planner restored report {i} after the review. The judge read the report.", "s") for i in range(310)]
+    titles = [(1000, "Total rows: 42", "s"), (1001, "Quarterly review", "s")]
+    cuts = [(1010, "The judge read the repo", "s"), (1011, "After the review the", "s"), (1012, "After the review,", "s")]
+    at = [(1020 + k, ("judge " * k + "review report " * 9)[:60].rstrip() + "report" * 9, "t") for k in range(6)]
+    at = [(i, x[:58] + "ew", "t") for i, x, _ in at] + [(1030, "Fine.\n\nhttps://example.org/" + "a" * 33, "t"), (1031, "Fine.\n\nhttps://example.org/" + "a" * 20, "t")]
     d = spark.createDataFrame(whole + titles + cuts + at, "doc_id long, text string, source string")
     got = {r.doc_id: r.evidence for r in truncation.judge_endings(d).where("is_cut").collect()}
-    assert sorted(got) == [110, 111, 112, *range(120, 126), 130] and got[111] == "sentence+inside" and got[130] == "link+limit"
+    assert sorted(got) == [1010, 1011, 1012, *range(1020, 1026), 1030] and got[1011] == "sentence+inside" and got[1030] == "link+limit"
 
 
 def test_trie_nodes(spark):

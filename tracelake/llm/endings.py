@@ -26,7 +26,8 @@ _URL = re.compile(r"(?:https?://|www\.)\S+\Z")
 _FILE = re.compile(r"[\w.()-]*\w\.(?:[a-z]{1,4}\d?|[A-Z]{2,4})\Z")
 _REF = re.compile(r"(?:\b(?:rev|run|ref|id|no|commit|case|sha|version|ver|build)\.?|版本|运行|编号|用例)[\s:#]*(?:[0-9a-f]{6,40}|[A-Za-z]+-\d+|v?\d+(?:\.\d+)+)\Z", re.I)
 _SIGN = re.compile(r"\A(?:--|—|– )\s*\S.*\Z")
-_TOKEN = re.compile(r"[^\W_]+\Z")
+#: Last characters of the marks; only texts that end in one are searched.
+_MARK_ENDS = tuple("…⋯�])>}）】-") + ("...", "more")
 _JSON_HEAD = re.compile(r"(?:\A|\n)[^\n{\[]{0,40}?([{\[])(?=\s*[\"{\[\]}]|\s*\d)")
 _STEM = re.compile(r"[a-z]+(?:_[a-z0-9]+)+\.\Z")
 _UNIT = re.compile(r"[.!?。！？…]+[\"'”’»」』)）\]】]*(?:\s+|(?<=[。！？])|(?=[(（\[【]))|\n")
@@ -55,32 +56,41 @@ def _json_end(t: str, at: int) -> int:
 
 
 def final_token(t: str) -> str:
-    m = _TOKEN.search(t)
-    return m.group(0) if m else ""
+    i = len(t)
+    while i and t[i - 1].isalnum():
+        i -= 1
+    return t[i:]
 
 
 def final_unit(t: str) -> str:
-    """What follows the last complete sentence or line."""
-    end = 0
-    for m in _UNIT.finditer(t, max(0, len(t) - 2000)):
-        if m.end() < len(t):
-            end = m.end()
-    return t[end:]
+    """What follows the last complete sentence or line; read from the end in steps that double until one is found."""
+    back = 1000
+    while True:
+        at = max(0, len(t) - back)
+        ends = [m.end() for m in _UNIT.finditer(t, at) if m.end() < len(t)]
+        if ends or not at:
+            return t[ends[-1] :] if ends else t
+        back *= 2
+
+
+def has_mark(t: str) -> bool:
+    """Whether the text ends in a mark of a cut."""
+    return t[-4:].lower().endswith(_MARK_ENDS) and bool(MARK.search(t))
 
 
 def ending(text: str | None) -> tuple[str, str, str]:
     t = (text or "").rstrip(_SPACE)
     if not t.strip(_SPACE):
         return "empty", "empty", ""
-    if MARK.search(t):
+    if has_mark(t):
         return "open", "mark", final_token(MARK.sub("", t).rstrip())
     token = final_token(t)
     if t.count("```") % 2:
         return "open", "structure", token
     if t.endswith("```"):
         return "closed", "fence", ""
-    m = _JSON_HEAD.search(t)
-    if m and ('":' in t[m.start() : m.start() + 400] or m.group(1) == "["):
+    m = _JSON_HEAD.search(t) if "{" in t or "[" in t else None
+    if m and (m.group(1) == "[" or '":' in t[m.start() :]):
         end = _json_end(t, m.start(1))
         if end < 0:
             if t[m.start(1) : m.start(1) + 2] in ('{"', '[{', '["', "[["):
@@ -100,7 +110,7 @@ def ending(text: str | None) -> tuple[str, str, str]:
         return "open", "bullet", ""
     if _URL.search(body):
         return "closed", "link", token
-    if _STEM.search(t):
+    if t.endswith(".") and _STEM.search(body):
         return "open", "stem", token
     core = t.rstrip(_CLOSERS)
     if core and core[-1] in TERMINAL:

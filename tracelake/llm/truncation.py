@@ -26,7 +26,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.core import materialize, ship
@@ -36,11 +36,12 @@ from tracelake.llm.endings import _CLOSERS, _SPACE, ending
 KNOWN = 3
 #: A length is a limit of a source if this many unfinished texts, and this share of the source's, have it.
 LIMIT_COUNT, LIMIT_SHARE = 4, 0.05
-_WORD = re.compile(r"[^\W_]{2,64}")
+_WORD = re.compile(r"[^\W_]{2,}")
 #: It also stands out this much from the mean of so many lengths on either side.
 SPIKE_RATIO, SPIKE_WIDTH = 5, 10
-#: A word stands inside sentences if it is known in INNER_LEAST texts and ends a sentence in at most this share of them.
-INNER_LEAST, INNER_SHARE = 20, 0.01
+#: A word stands inside sentences if it ends a sentence in at most INNER_SHARE of the texts that have it, and is known in
+#: enough of them (INNER_LEAST) to say so: none of 300 is below 1 in 100 with 95 % confidence.
+INNER_LEAST, INNER_SHARE = 300, 0.01
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{5,}\Z")
 _END = re.compile(r"[.!?。！？；\n]+")
 _WEAK_END = re.compile(r"(?:[,，、;:：(（\[{—–=+&/-]|\s[-–—])\Z")
@@ -100,10 +101,30 @@ def _read(batches):
     yield _rows([], words, ends)
 
 
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """(prefix, n_below): every proper prefix of a known word, one row a trie node."""
-    known = words.where(F.col("n") >= KNOWN).where(~F.col("word").rlike(_HEX.pattern.replace(r"\Z", "$")))
-    nodes = known.where(F.length("word") >= 2).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("prefix"), "n")
+#: Longer prefixes are named by their first so many characters, their length and their hash.
+NODE_CHARS = 64
+
+
+def node(prefix: Column) -> Column:
+    """Name of a trie node: the prefix itself, or for a very long one its beginning, length and hash."""
+    long_ = F.concat(F.left(prefix, F.lit(NODE_CHARS)), F.lit("~"), F.length(prefix).cast("string"), F.lit("~"), F.md5(prefix))
+    return F.when(F.length(prefix) <= NODE_CHARS, prefix).otherwise(long_)
+
+
+def trie_nodes(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(prefix, n_below): every proper prefix of a known word, one row a trie node.
+
+    With ``asked`` (token) only the depths at which a token ends are built; one very long word would
+    otherwise give as many nodes as it has letters.
+    """
+    known = words.where(F.col("n") >= KNOWN).where(~F.col("word").rlike(_HEX.pattern.replace(r"\Z", "$"))).where(F.length("word") >= 2)
+    if asked is None:
+        depths = F.sequence(F.lit(1), F.length("word") - 1)
+    else:
+        # One row: the distinct lengths of the tokens.
+        known = known.crossJoin(asked.agg(F.collect_set(F.length("token")).alias("_depths")))
+        depths = F.filter("_depths", lambda i: (i > 0) & (i < F.length("word")))
+    nodes = known.select(F.explode(F.transform(depths, lambda i: node(F.left(F.col("word"), i)))).alias("prefix"), "n")
     return nodes.groupBy("prefix").agg(F.sum("n").alias("n_below"))
 
 
@@ -117,10 +138,10 @@ def judge_endings(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("source", "state", "why", "token", "n_chars", "n_bytes", "weak")).alias("r")).select("doc_id", "r.*")
     )
     words = read.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    nodes = trie_nodes(words)
     asked = d.where("token <> ''").select("token").distinct()
+    nodes = trie_nodes(words, asked)
     known = asked.join(words, F.col("token") == F.col("word"), "left").select("token", F.coalesce("n", F.lit(0)).alias("n_known"))
-    seen = known.join(nodes, F.col("token") == F.col("prefix"), "left").select(
+    seen = known.join(nodes, node(F.col("token")) == F.col("prefix"), "left").select(
         "token", ((F.col("n_known") < KNOWN) & (F.coalesce("n_below", F.lit(0)) >= KNOWN) & ~F.col("token").rlike("^[0-9]+$")).alias("unknown_prefix")
     )
     # In Chinese the final character is looked up instead of the run of characters.
