@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracelake.llm import endings, truncation
+from tracelake.llm import endings, leaks, truncation
 
 WHOLE = [(i, f"The checkpoint planner restored report {i} after the review. The judge read the report.", "s") for i in range(40)]
 
@@ -36,3 +36,58 @@ def test_sound_texts_without_a_final_mark(spark):
     rows = WHOLE + [(100 + i, t, "s") for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert truncation.found(d).collect() == []
+
+
+# --- leaks -----------------------------------------------------------------------------------
+
+TRAIN = "A train leaves Berlin at 9 and travels to Munich at 120 km/h. Another train leaves Munich at 10 and travels to Berlin at 80 km/h. When do the trains meet, and how far from Berlin is that?"
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {tuple(r) for r in leaks.found(d, spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(items)], "item_id string, item_text string")).collect()}
+
+
+@pytest.mark.parametrize("n_items", [1, 3, 39, 40, 41])
+def test_leaks_whatever_the_number_of_items(spark, n_items):
+    items = [TRAIN] + [f"Count the {w}{k} of shelf {k}, then multiply what you counted by {k + 3} and write down the last digit of that for every {w}{k + 1}." for k, w in zip(range(n_items - 1), ["spoon", "lamp", "coin"] * 20)]
+    got = found(spark, ["Intro. " + TRAIN.upper() + " End.", "A train leaves Berlin late.", "Nothing here at all of that kind, only prose about a garden."], items)
+    assert got == {(0, "e0")}
+
+
+def test_leaks_of_unusual_and_short_items(spark):
+    unusual = "Zorquil brimvas kamnov turlux othfen miptor ricquil drihal wadbel polsert gorvas lenjor"
+    items = [unusual, "Sort the list", "Why?", "the the the the the the the the the the the the", "", None]
+    docs = ["x " + unusual + " y", "please sort the list now", "and why? because", "sort a list", "Zorquil brimvas kamnov once", "", None]
+    assert found(spark, docs, items) == {(0, "e0"), (1, "e1"), (2, "e2")}
+
+
+def test_items_with_the_same_text(spark):
+    assert found(spark, ["Intro. " + TRAIN], [TRAIN] * 5) == {(0, f"e{i}") for i in range(5)}
+
+
+def test_reparameterised_questions(spark):
+    new = TRAIN
+    for a, b in (("Berlin", "Lyon"), ("Munich", "Paris"), ("120", "95"), ("80", "70"), ("at 9 ", "at 7 "), ("at 10 ", "at 8 ")):
+        new = new.replace(a, b)
+    mixed = new.replace("travels to Lyon", "travels to Rome").replace("from Lyon", "from Oslo")
+    d = spark.createDataFrame([(1, "Q: " + new + " A: noon."), (2, "Q: " + TRAIN), (3, "A train is late. " * 50), (4, mixed)], "doc_id long, text string")
+    i = spark.createDataFrame([("e", TRAIN), ("f", "Name the five longest rivers of the continent, from the longest to the shortest, and their sources.")], "item_id string, item_text string")
+    got = {r.doc_id: r for r in leaks.leaks(d, i).collect()}
+    assert got[1].is_renamed and got[1].n_other == 0 and not got[2].is_renamed and got[4].n_other > 0 and 3 not in got
+    assert {tuple(r)[:2] for r in leaks.reparameterised(d, i).where("n_other = 0").collect()} == {(1, "e")}
+    # More than a third of the words stands there literally, whatever the parameters.
+    assert {tuple(r) for r in leaks.found(d, i).collect()} == {(1, "e"), (2, "e"), (4, "e")}
+
+
+def test_typed_placeholders():
+    c = leaks.Canon({"run", "for", "days", "the"})
+    kinds = lambda t: [("NUX"[{1: 0, 2: 1, 0: 2}[int(v) >> 60 & 3]] if int(v) & leaks._SLOT else "-") for v in c.ids_of(t.split())]
+    assert kinds("run for 12 days") == ["-", "-", "N", "U"] and kinds("for three hours the days") == ["-", "N", "U", "-", "-"] and kinds("the zorquil") == ["-", "X"]
+
+
+def test_scan_and_join_agree(spark, monkeypatch):
+    docs = ["Intro. " + TRAIN, "other prose " * 30, TRAIN[:90]]
+    want = found(spark, docs, [TRAIN])
+    monkeypatch.setattr(leaks, "MAX_WINDOWS", 1)
+    assert found(spark, docs, [TRAIN]) == want and (0, "e0") in want

@@ -70,6 +70,10 @@ def _p7_report(spark, d):
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _p7_reparameterised(spark, d):
+    return leaks.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _p8_found(spark, d):
     return truncation.found(table(spark, d, "documents"))
 
@@ -96,6 +100,7 @@ def queries():
         "p6_report": _p6_report,
         "p7_found": _p7_found,
         "p7_report": _p7_report,
+        "p7_reparameterised": _p7_reparameterised,
         "p8_found": _p8_found,
         "p8_rates": _p8_rates,
     }
