@@ -3,19 +3,21 @@
 Plan
 ----
 1. One Arrow pass per table proposes candidate spans with wide patterns and lets labelers vote on each:
-   *format* (a strict pattern of the type), *gazetteer* (first names, surnames, street words, domains),
-   *context* (words or JSON keys around it that announce the type) and *contra* (words that announce
-   something else: tickets, batches, traces, versions, dates).  Texts never leave the pass; only
-   candidates do (a few numbers and feature hashes each).
+   *format* (a strict pattern of the type), *gazetteer* (public first names, surnames, surname endings, top-level
+   domains), *context* (words or JSON keys around it that announce the type) and *contra* (words that announce
+   something else: tickets, batches, traces, versions, dates).  No list is a gate: any run of capitalised
+   words and any Chinese run beside a name's context is proposed.  Texts never leave the pass; only
+   candidates do, one row a text (a few numbers and feature hashes each).
 2. Weak supervision: votes are counted per pattern of votes (at most 3**4 patterns a type, whatever
    the data), and expectation-maximisation estimates each labeler's reliability and each pattern's
    probability of being real.
-3. A span classifier (logistic regression over votes, shape and neighbouring words) is trained on
-   these soft labels, on at most TRAIN_SPANS candidates chosen by hash, and decides every candidate.
+3. A span classifier (logistic regression over votes, shape, the words of a name and neighbouring words) is
+   trained on these soft labels, on at most TRAIN_SPANS candidates chosen by hash, and decides every candidate.
+   Of overlapping candidates that pass the most probable stays.
 4. ``redact`` runs the same proposals with the trained classifier and writes placeholders.
 
-Defined results: null and empty texts have no mentions; overlapping mentions are resolved to the
-earlier and longer one, a name inside an email address is none; offsets count code points of the
+Defined results: null and empty texts have no mentions; of overlapping mentions the most probable stays, then
+the earlier and longer one, a name inside an email address is none; offsets count code points of the
 stored string; a row delivered twice counts once; tables without candidates give empty results.
 """
 
@@ -38,23 +40,31 @@ TRAIN_SPANS = 20_000
 DIM = 1 << 14
 THRESHOLD = 0.5
 
-# Gazetteers.
+# Gazetteers of common first names and of surnames and their endings, from public name statistics.
 FIRST_NAMES = frozenset(
-    "nadia clara rafael elena lukas aisha carmen rizky tomas greta hugo mateo emil helga marta karin sofia felix yusuf bruno dewi samir jonas paula putri owen lena oscar priya ines "
-    "anna maria laura julia sarah emma olivia mia hannah lea sophie marie amelia grace alice lucy jane mary john james robert michael william david richard joseph thomas daniel paul mark george peter "
-    "carlos juan jose luis pedro miguel antonio francisco javier diego pablo lucia isabel ana rosa pilar alejandro fernando hans klaus jürgen heike sabine petra stefan andreas martin markus anja "
-    "budi agus siti sri wati ahmad rina indah wayan made ketut bambang hendra fitri lestari ayu arjun ravi anita fatima omar ali hassan leila mohammed ibrahim amina".split()
+    "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony sandra mark margaret "
+    "andrew emily joshua emma kevin olivia brian sophia george mia edward amelia oliver grace jack alice henry lucy oscar clara owen julia "
+    "peter maria anna paul laura martin eva stefan petra andreas sabine klaus heike jürgen ursula lukas lena jonas hannah felix greta emil karin "
+    "josé juan luis carlos antonio manuel francisco javier diego pablo rafael hugo mateo carmen isabel ana elena sofía sofia lucía marta paula pilar rosa inés "
+    "budi siti agus sri dewi putri wati ahmad muhammad mohammed fatima aisha ali omar hassan yusuf ibrahim amina samir leila priya raj arjun anita sanjay deepa "
+    "wei li min hiroshi yuki ji hyun olga ivan natalia dmitri tomas jan bruno giulia marco luca pierre marie jean claire lars ingrid erik freya".split()
 )
+_COMPOUND = "欧阳|上官|司马|司徒|诸葛|东方|夏侯|皇甫|尉迟|慕容|公孙|令狐|轩辕|长孙|宇文|端木|呼延|南宫|西门|独孤|闻人|赫连|澹台|钟离|鲜于|申屠|百里|东郭|万俟|拓跋"
 SURNAMES_ZH = (
-    "欧阳|司马|上官|诸葛|司徒|东方|夏侯|皇甫|尉迟|慕容|"
-    "[王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤]"
+    f"(?:{_COMPOUND}|"
+    "[王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤])"
 )
-_NOT_SURNAME = frozenset(
-    "which what who how where when the a an in on at open find move create check summarise summarize is are was were please note address tel contact call text http file tool case should since if during after before "
-    "file berapa cari buka pindahkan ringkas buat periksa busca mueve abre resume crea comprueba suche öffne fasse lege prüfe ist die der das el la los las un una folder space drafts trips review sync group team shared "
-    "signed she he they passport write send cc owner ping pinned ticket batch trace rev asked street road avenue lane".split()
+#: Function words and words that open letters; no name starts or ends with one.
+_FUNCTION = frozenset(
+    "the a an and or of to in on at by for from with is are was were be it its this that these those i you he she we they my your his her our their who what which when where how if then since because as not no yes please "
+    "all any each every some new old after before during under over once both can do did does has have will should must may "
+    "der die das den dem des ein eine einen und oder von zu mit ist sind war im in am an auf für bei nach aus um wenn als nicht kein alle ich sie wir es bitte wer wie wo was "
+    "el la los las un una y o de del al en con por para es son fue se su que si no sí como cuando donde quién qué todos "
+    "yang di ke dari dan atau untuk dengan ini itu pada oleh tidak jika siapa apa tolong bila setelah sebelum semua".split()
 )
-_GREETING = frozenset("signed regards thanks dear hi hello best sincerely cheers atentamente saludos grüße salam hormat".split())
+_GREETING = frozenset("signed regards thanks dear hi hello best sincerely cheers mr mrs ms dr prof sr sra señor señora herr frau bapak ibu pak bu atentamente saludos grüße salam hormat".split())
+#: Words of places, which streets and towns have and persons rarely.
+_PLACE = frozenset("street st road rd avenue ave lane ln drive boulevard blvd court ct square sq terrace box apt flat suite unit floor calle avenida plaza paseo camino jalan jl kota kabupaten straße strasse rue via platz".split())
 
 _FULL = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
 
@@ -68,7 +78,9 @@ _PHONE_STRICT = re.compile(
     r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+?1?[2-9]\d{2}[2-9]\d{6}|(?:\+?86[ -]?)?1\d{2}[ -]?\d{4}[ -]?\d{4}|(?:\+?62[ -]?|\(?0)8\d{2}\)?[ -]?\d{3,4}[ -]?\d{3,5}"
     r"|(?:\+?34[ -]?)?[6789]\d{2}(?:[ -]?\d{3}[ -]?\d{3}|(?:[ -]\d{2}){3})|(?:\+?49[ -]?(?:\(0\) ?)?|\(?0)\d{2,4}\)?[ /-]?\d{3,8}(?:[ -]\d{2,5})?|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}\Z"
 )
-_ID_STRICT = re.compile(r"\d{3}([- ])\d{2}\1\d{4}|\d{16}|\d{17}[\dXx]|\d{8}-?[A-Za-z]|\d{2}\.\d{3}\.\d{3}-?[A-Za-z]|[A-Z]\d{2}[A-Z0-9]{6,8}|[XYZ]-?\d{7}-?[A-Z]")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CODE = re.compile(r"(?<![A-Za-z0-9_#/.+-])(?=[A-Z]*\d)(?=(?:[A-Z]*\d){4})[A-Z0-9]{7,18}(?![A-Za-z0-9_])")
+_ID_STRICT = re.compile(r"\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}([- ])\d{2}\1\d{4}|\d{16}|\d{17}[\dXx]|\d{8}-?[A-Za-z]|\d{2}\.\d{3}\.\d{3}-?[A-Za-z]|[A-Z]\d{2}[A-Z0-9]{6,8}|[XYZ]-?\d{7}-?[A-Z]")
 _NOT_NUMBER = re.compile(r"\d{4}-\d{2}-\d{2}|\d{4}-\d{2}-\d{4}|\d{3}-\d{4}-\d{2}|\d{1,8}|\d{19,}|\d+\.\d+|(?:19|20)\d{6,12}|\d{1,3}(?:\.\d{1,3}){3}")
 _CAP = r"[A-ZÀ-Þ][\wÀ-ÿ'’-]*"
 _ADDRESS = (
@@ -91,67 +103,139 @@ _ADDRESS = (
     re.compile(
         r"(?:(?:(?<![一-鿿])[一-鿿]{3}|[一-鿿]{2})(?:省|自治区))?(?:(?:(?<![一-鿿])[一-鿿]{3}|[一-鿿]{2})市)?(?:[一-鿿]{2}[区县镇])?(?:[一-鿿]{2,4}(?:大道|胡同)|[一-鿿]{2,3}[路街巷弄])\d{1,5}号(?:院)?(?:\d{1,3}(?:栋|幢|号楼|座))?(?:\d{1,3}单元)?(?:\d{1,5}室)?"
     ),
+    # French and Italian, Portuguese and Dutch forms
+    re.compile(
+        rf"\b\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|impasse|chemin|quai|allée|cours|route|square) (?:(?:de la|de l'|du|des|de|d') ?)?{_CAP}(?:[ -](?:(?:de|du|la|le|des) )?{_CAP}){{0,3}}(?:,? (?:\d{{5}} )?{_CAP}(?:[ -]{_CAP})?)?"
+    ),
+    re.compile(
+        rf"\b(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Strada|Rua|Travessa|Praça|Alameda) (?:(?:della|delle|dei|del|di|da|do|dos|das|de) )?{_CAP}(?: (?:(?:e|di|da|do|de) )?{_CAP}){{0,3}},? (?:n\.?º? ?)?\d{{1,4}}[A-Za-z]?\b(?:, (?:\d{{5}} )?{_CAP}(?: {_CAP})?)?"
+        rf"|\b[A-Z][a-z]+(?:straat|laan|plein|gracht|kade|gade|gatan|vej|vägen) \d{{1,4}}[A-Za-z]?\b(?:, (?:\d{{4}} ?[A-Z]{{2}} )?{_CAP})?"
+    ),
+    # A number, capitalised words, a comma and a town: an address only beside words that announce one.
+    re.compile(rf"\b\d{{1,5}}[A-Za-z]? {_CAP}(?: {_CAP}){{0,3}}, (?:\d{{4,6}} )?{_CAP}(?: {_CAP})?(?:,? [A-Z]{{2}} \d{{4,6}})?"),
 )
-_ADDRESS_QUICK = re.compile(
-    r"Box \d|\d [A-ZÀ-Þ][\w' -]{1,40}? (?:St|Street|Road|Rd|Ave|Avenue|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Close|Crescent)\b|Calle|C/|Avenida|Avda|Av\. |Plaza|Pza|Paseo|Camino |Carretera|Ronda |Travesía|(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|chaussee|steig|markt) \d"
-    r"|(?:Am|An de[rn]|Im|In der|Zum|Zur|Auf de[mr]|Unter den|Hinter der) [A-ZÄÖÜ][\w ]{1,30} \d|Jl[n.]|Jalan|G(?:g\.|ang )|Komplek|Perumahan|[路街巷弄道同]\d{1,5}号"
+LOOSE = len(_ADDRESS) - 1
+#: Strings of which each of the forms needs one.
+_ANCHOR = tuple(
+    tuple(x.split("|"))
+    for x in (
+        "Box | Street| St| Road| Rd| Avenue| Ave| Lane| Ln| Drive| Dr| Boulevard| Blvd| Court| Ct| Way| Place| Pl| Square| Sq| Terrace| Close| Crescent",
+        "Calle|C/|Avenida|Avda|Av.|Plaza|Pza|Paseo|Pº|Camino|Carretera|Ronda|Travesía",
+        "straße |strasse |str. |weg |allee |platz |gasse |ring |damm |ufer |chaussee |steig |markt |Am |An de|Im |In der |Zum |Zur |Auf de|Unter den |Hinter der ",
+        "Jl. |Jln|Jalan |Gg. |Gang |Komplek |Perumahan ",
+        "大道|胡同|路|街|巷|弄",
+        "rue |avenue |boulevard |place |impasse |chemin |quai |allée |cours |route |square ",
+        "Via |Viale |Piazza |Piazzale |Corso |Largo |Vicolo |Strada |Rua |Travessa |Praça |Alameda |straat |laan |plein |gracht |kade |gade |gatan |vej |vägen ",
+        ", ",
+    )
 )
+_DE_QUICK = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|chaussee|steig|markt) \d|\b(?:Am|An de[rn]|Im|In der|Zum|Zur|Auf de[mr]|Unter den|Hinter der) [A-ZÀ-Þ]")
 _RUN = re.compile(r"[A-ZÀ-Þ][\w'’-]*\.?(?:,? [A-ZÀ-Þ][\w'’-]*\.?)+")
 _WORD = re.compile(r"[\w'’-]+")
-_ZH_KEY = r"(?:联系人|负责人|作者|署名|经办人|撰稿人|姓名|编辑|审核人)[：:] ?|请联系|初稿由|\"(?:author|owner_name|created_by|name|contact_person|signed_by|full_name)\": ?\""
-_ZH_END = r"(?=确认|撰写|昨天|起草|整理|编写|先生|女士|老师|[^一-鿿]|\Z)"
-_ZH_NAME = re.compile(rf"(?:{_ZH_KEY})((?:{SURNAMES_ZH})(?:[一-鿿]{{1,2}}?{_ZH_END}|[一-鿿]{{2}}))|(?:由|请找)((?:{SURNAMES_ZH})[一-鿿]{{1,2}}?)(?=撰写|起草|编写|确认)|((?:{SURNAMES_ZH})[一-鿿]{{1,2}})(?=昨天新增|先生|女士|撰写了|写了初稿)")
-_ZH_QUICK = re.compile(r"联系|人[：:]|作者|署名|姓名|初稿由|昨天新增|先生|女士|撰写|\"(?:author|owner_name|created_by|name|contact_person|signed_by|full_name)\"")
+_ZH_KEY = r"(?:联系人|负责人|作者|署名|经办人|撰稿人|姓名|编辑|审核人|申请人|收件人|签名|签字|起草人|客户|医生|律师|主任|经理)(?:[：:] ?|是|为)|\"\w*(?:author|owner|name|created_by|contact|signed|person)\w*\": ?\""
+_ZH_LINK = r"由|请联系|请找|联系|请教|询问|通知|拜托"
+_ZH_END = r"(?=确认|撰写|起草|编写|整理|提交|负责|审核|批准|创建|新增|添加|更新|修改|昨天|今天|前天|先生|女士|老师|医生|教授|经理|律师|说|写|表示|认为)"
+_ZH_NAMES = (
+    re.compile(rf"(?:{_ZH_KEY})([一-鿿]{{2,4}})(?![一-鿿])"),
+    re.compile(rf"(?:{_ZH_KEY}|{_ZH_LINK})({SURNAMES_ZH}[一-鿿]{{1,2}}?)(?:{_ZH_END}|(?![一-鿿]))"),
+    re.compile(rf"(?<![一-鿿])({SURNAMES_ZH}[一-鿿]{{1,2}}?){_ZH_END}"),
+    re.compile(rf"。({SURNAMES_ZH}[一-鿿]{{1,2}}?){_ZH_END}"),
+    re.compile(rf"(?:{_ZH_KEY})({SURNAMES_ZH}[一-鿿]{{2}})"),
+)
+_ZH_SURNAME = re.compile(SURNAMES_ZH)
 
 # Words that announce a type before or behind the span, and words that announce something else.
 _CUE = {
-    "email": (re.compile(r"(?:owner|listed as|write to|mail|cc|contact|schreib|escribe|propietario|besitzer|pemilik|surel|kirim|shared ?with|邮箱|抄送|写信给|电邮)[^\n]{0,14}$", re.I), re.compile(r"^[^\n]{0,3}(?:asked|,? (?:thanks|falls|gracias|danke)|，谢谢|si falla|bila)", re.I)),
-    "phone": (re.compile(r"(?:call|text me on|tel|phone|mobile|contact|form gives|\bhp\b|hubungi|llama|teléfono|bitte|telefon|formular|formulario|formulir|móvil|handy|手机|电话|拨打|致电)[^\n]{0,12}$", re.I), re.compile(r"^ ?(?:as the (?:mobile|phone)|anrufen|after the|tras la|setelah|ext\.?)", re.I)),
-    "id_number": (re.compile(r"(?:id number|passport|\bid\b|identity|nik|identitas|dni|documento|ausweis\w*|身份证\w*|证件\w*|holder_id|doc_no|ssn|entered|登记)[^\n]{0,8}$", re.I), re.compile(r"^ ?(?:as the identity|is on the second|ada di|figura|steht auf|在第二页|als ausweis|como documento|sebagai)", re.I)),
-    "address": (re.compile(r"(?:address|alamat|anschrift|dirección|地址|copy to|cetak ke|impresa a|ausdruck bitte an|寄到|收件地点为|location|ship_to|deliver|lives at|send)[^\n]{0,6}$", re.I), re.compile(r"^ ?(?:schicken|senden)", re.I)),
-    "person_name": (re.compile(r"(?:contact person|signed|ask|author|owner_name|created_by|added by|oleh|narahubung|tanya|contacto|pregunta a|borrador es de|ansprechpartner|frag bitte|stammt von|联系人|联系|由|negado|regards|written by|reviewed by|añadió|von|por)[^\w\n]{0,5}$", re.I), re.compile(r"^(?: wrote the first| about it| yesterday| added|昨天|撰写|确认|, por favor| danach| soal ini)", re.I)),
+    "email": (re.compile(r"(?:e-?mail|mail|owner|write to|cc|contact|send|shared ?with|surel|kirim|correo|escribe|schreib|schicke|邮箱|邮件|抄送|写信|电邮)[^\n]{0,14}$", re.I), re.compile(r"^[^\n]{0,3}(?:asked|wrote|,? (?:thanks|gracias|danke)|，?谢谢)", re.I)),
+    "phone": (re.compile(r"(?:call|tel|phone|mobile|cell|fax|whatsapp|contact|\bhp\b|hubungi|telepon|llama|teléfono|móvil|telefon|handy|ruf|anrufen|手机|电话|拨打|致电)[^\n]{0,16}$", re.I), re.compile(r"^ ?(?:as the (?:mobile|phone)|anrufen|ext\.?)", re.I)),
+    "id_number": (re.compile(r"(?:id number|passport|\bid\b|identity|national id|social security|tax id|licen[cs]e|nik|ktp|identitas|paspor|dni|nie|documento|pasaporte|ausweis\w*|reisepass|steuer\w*|cpf|aadhaar|iban|身份证\w*|证件\w*|护照\w*|holder_id|doc_no|ssn)[^\n]{0,10}$", re.I), re.compile(r"^ ?(?:as (?:the|an) (?:identity|id)|als ausweis|como documento|sebagai identitas)", re.I)),
+    "address": (re.compile(r"(?:address|alamat|anschrift|adresse|dirección|domicilio|indirizzo|endereço|地址|住址|寄到|寄往|收件|location|ship_?to|deliver\w*|liefer\w*|lives? (?:at|in)|resid\w+|visit\w*|located|send|mail)[^\n]{0,20}$", re.I), re.compile(r"^ ?(?:schicken|senden|liefern)", re.I)),
+    "person_name": (
+        re.compile(r"(?:contact(?: person)?|signed|ask|author|owner(?:_name)?|created_by|\w*_?name|\bby|regards|sincerely|dear|from|met|spoke (?:to|with)|\b(?:mr|mrs|ms|dr|prof)\.?|colleague|manager|patient|customer|oleh|narahubung|tanya|hubungi|bapak|ibu|contacto|pregunta a|señora?|escribió|\bes de|de parte de|firmado|ansprechpartner(?:in)?|frag(?:en sie)?(?: bitte)?|herr|frau|von|por|atentamente|联系人|负责人|联系|由|作者|署名|姓名)[^\w\n]{0,5}$", re.I),
+        re.compile(r"^(?:,? (?:wrote|said|says|added|asked|told|called|sent|signed|joined|left|works|will|yesterday|about|from|and I)\b|昨天|今天|撰写|起草|编写|确认|先生|女士|老师| (?:schrieb|sagte|hat|añadió|escribió|dijo|menulis|menambah\w*))", re.I),
+    ),
 }
 _CONTRA = re.compile(r"(?:ticket|batch|批次|trace|rev|版本|\brun\b|运行|model|iteration|since|version|order|build|commit|sha|hash|samples|step|用例|case|size|bytes|ran on|rows?)[^\w\n]{0,4}$", re.I)
-_SUR_SHAPE = re.compile(r"(?:brook|horn|over|stead|mere|lind|wick|garth|moor|vale|quist|dahl|son|sen|mann|berg|stein|ez|feld|man|ton|ford|field|wood|well|ley|ski|sky|ov|escu|ham|bauer|meyer|er)$", re.I)
+#: Endings of surnames in several languages.
+_SUR_SHAPE = re.compile(r"(?:son|sen|ssen|mann|berg|stein|burg|feld|bauer|meyer|meier|müller|schmidt|ez|man|ton|ham|ford|field|wood|well|worth|ley|ski|sky|ska|ov|ova|ev|eva|enko|escu|poulos|idis|ian|yan|ini|etti|elli|ucci|quist|ström|lund|dahl|wati|anto|nova|nen)$", re.I)
+
+
+_WIDE = re.compile("[\uff01-\uff5e\u3000]")
+_AT_MARK = re.compile(r"[\[({<]\s?(?:at|AT|@)\s?[\])}>]|\s(?:dot|DOT)\s")
 
 
 def normal(text: str) -> str:
     """Full-width letters, digits and marks as ASCII, one for one, so offsets stay."""
-    return text if text.isascii() else text.translate(_FULL)
+    return text.translate(_FULL) if not text.isascii() and _WIDE.search(text) else text
 
 
 def _names(t: str):
-    """(start, end, gazetteer vote) of Latin full names in runs of capitalised words."""
+    """(start, end, format vote, gazetteer vote) of what may be Latin full names in runs of capitalised words.
+
+    From each run the whole without function words at its ends, its first two words, any two behind them, and
+    two words as ``Surname, First``.  A word that a function word follows opens a sentence and ends no name.
+    """
     for m in _RUN.finditer(t):
         words = [(w.start(), w.end(), w.group(0)) for w in _WORD.finditer(t, m.start(), m.end())]
-        k = 0
-        while k < len(words):
-            s, e, w = words[k]
-            if w.lower() not in FIRST_NAMES or not (w[0].isupper() and (w[1:].islower() or w.isupper())):
+        low = [w[2].lower() for w in words]
+        shaped = [w[2][0].isupper() and (w[2][1:].islower() or w[2].isupper() or "-" in w[2] or "'" in w[2] or "’" in w[2] or w[2][:2] in ("Mc", "Ma", "De", "La", "Le", "Di")) and not any(c.isdigit() or c == "_" for c in w[2]) for w in words]
+        initial = [len(w[2]) == 1 for w in words]
+        gap = [t[a[1] : b[0]] for a, b in zip(words, words[1:])] + [""]
+        n, k = len(words), 0
+        while k < n:
+            if not shaped[k] or initial[k] or low[k] in _FUNCTION or low[k] in _GREETING:
                 k += 1
                 continue
-            before = words[k - 1] if k else None
-            if before and t[before[1] : s] == ", " and before[2].lower() not in _GREETING and before[2].lower() not in _NOT_SURNAME and len(before[2]) > 2:
-                yield before[0], e, 1 if _SUR_SHAPE.search(before[2]) else -1
-                k += 1
-                continue
-            n = k + 1
-            while n < len(words) and len(words[n][2]) == 1 and t[words[n][1] : words[n][1] + 1] == "." and t[words[n - 1][1] : words[n][0]] in (" ", ". "):
-                n += 1
-            if n < len(words) and t[words[n - 1][1] : words[n][0]] in (" ", ". ") and words[n][2].lower() not in _NOT_SURNAME and len(words[n][2]) > 1:
-                yield s, words[n][1], 1 if _SUR_SHAPE.search(words[n][2].split("-")[-1]) else -1
-                k = n + 1
-            else:
-                k += 1
-
-
-def propose(text: str) -> list[tuple[str, int, int, int, int]]:
-    """Candidates (kind, start, end, format vote, gazetteer vote); votes are 1, 0 or -1 for none."""
-    t = normal(text)
+            # The longest stretch from here that spaces and initials hold together.
+            e = k + 1
+            while e < n and shaped[e] and (initial[e] and gap[e][:1] == "." or low[e] not in _FUNCTION and low[e] not in _GREETING) and (gap[e - 1] == " " or gap[e - 1] == ". " and (initial[e - 1] or low[e - 1] in _GREETING)):
+                e += 1
+            if e == n and e - k >= 3:
+                after = re.match(r" ([^\W\d_]+)", t[words[e - 1][1] : words[e - 1][1] + 24])
+                if after and after.group(1).lower() in _FUNCTION:
+                    e -= 1
+            full = [i for i in range(k, e) if not initial[i]]
+            ends = []
+            if len(full) >= 2 and not initial[e - 1]:
+                ends.append(e)
+            if len(full) >= 3 and full[1] + 1 not in ends:
+                ends.append(full[1] + 1)
+            for x in ends:
+                yield words[k][0], words[x - 1][1], 1 if any(initial[k:x]) else -1, _name_vote(low[k:x])
+            for a, b in zip(full[2:], full[3:]):
+                yield words[a][0], words[b][1], 1 if b > a + 1 else -1, _name_vote([low[a], low[b]])
+            if e - k == 1 and e < n and gap[k] == ", " and shaped[e] and not initial[e] and low[e] not in _FUNCTION and low[e] not in _GREETING:
+                yield words[k][0], words[e][1], -1, _name_vote([low[e], low[k]])
+            k = e
+
+
+def _name_vote(words: list[str]) -> int:
+    """1 for a common first name before or a surname's ending behind, 0 for words of places and for two names in a row."""
+    if any(w in _PLACE for w in words) or len(words) >= 4 and any(w in FIRST_NAMES for w in words[2:-1]):
+        return 0
+    return 1 if words[0] in FIRST_NAMES or any(_SUR_SHAPE.search(w.split("-")[-1]) and len(w) > 4 for w in words[1:]) else -1
+
+
+def _is_iban(v: str) -> bool:
+    v = v.replace(" ", "")
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def propose(text: str, normalised: str | None = None) -> list[tuple[str, int, int, int, int]]:
+    """Candidates (kind, start, end, format vote, gazetteer vote); votes are 1, 0 or -1 for none.
+
+    Candidates may overlap; only names inside emails and ids are left out at once.
+    """
+    t = normal(text) if normalised is None else normalised
     out: list[tuple[str, int, int, int, int]] = []
-    if "@" in t or "at]" in t or "(at" in t or "AT]" in t or " dot " in t or " DOT " in t or "{at" in t:
+    if "@" in t or _AT_MARK.search(t):
         for m in _EMAIL.finditer(t):
             out.append(("email", m.start(), m.end(), 1 if _EMAIL_STRICT.match(m.group(0)) else -1, 1 if re.search("[A-Za-z]+$", m.group(0)).group(0).lower() in ("com", "org", "net", "test", "example", "invalid", "edu", "de", "es", "id", "cn") else -1))
+    firm = [(c[1], c[2]) for c in out]
+    for m in _IBAN.finditer(t):
+        if _is_iban(m.group(0)):
+            out.append(("id_number", m.start(), m.end(), 1, 1))
+            firm.append((m.start(), m.end()))
     for m in _NUMBER.finditer(t):
         s, e, v = m.start(), m.end(), m.group(0)
         if v[0] == "(" and ")" not in v:
@@ -161,34 +245,46 @@ def propose(text: str) -> list[tuple[str, int, int, int, int]]:
             continue
         if _ID_STRICT.fullmatch(v):
             out.append(("id_number", s, e, 1, -1))
+        elif re.fullmatch(r"\d{4}[ -]\d{4}[ -]\d{4}", v):
+            out.append(("id_number", s, e, -1, -1))
         elif _PHONE_STRICT.fullmatch(v) and not _NOT_NUMBER.fullmatch(v):
             out.append(("phone", s, e, 1, 1 if v[0] in "+(" else -1))
         else:
-            f = 0 if _NOT_NUMBER.fullmatch(v) or digits > 15 else -1
+            f = 0 if _NOT_NUMBER.fullmatch(v) or digits > 15 or v[-1].isalpha() else -1
             out.append(("phone" if digits <= 13 else "id_number", s, e, f, -1))
+    docs = set()
     for m in _DOCNO.finditer(t):
         v = m.group(0)
-        if not v.isdigit() and sum(c.isdigit() for c in v) >= 3 or v[1:3] == "99":
+        if not v.isdigit() and sum(c.isdigit() for c in v) >= 3:
+            docs.add(m.start())
             out.append(("id_number", m.start(), m.end(), 1, -1))
-    if _ADDRESS_QUICK.search(t):
-        for k, r in enumerate(_ADDRESS):
+    cue = _CUE["id_number"][0]
+    for m in _CODE.finditer(t):
+        # Any code of letters and digits that is announced as an identity number.
+        if m.start() not in docs and not m.group(0).isdigit() and cue.search(t[max(0, m.start() - 40) : m.start()]):
+            out.append(("id_number", m.start(), m.end(), -1, -1))
+    left_of = _CUE["address"][0]
+    for k, (anchor, r) in enumerate(zip(_ANCHOR, _ADDRESS)):
+        if any(x in t for x in anchor) and (k != 2 or _DE_QUICK.search(t)):
             for m in r.finditer(t):
-                out.append(("address", m.start(), m.end(), 1, 1 if "," in m.group(0) or k == 4 and re.search("[省市区县]", m.group(0)) else -1))
-    for s, e, g in _names(t):
-        out.append(("person_name", s, e, 1, g))
-    if not t.isascii() and _ZH_QUICK.search(t):
-        for m in _ZH_NAME.finditer(t):
-            k = m.lastindex
-            out.append(("person_name", m.start(k), m.end(k), 1, 1))
-    if len(out) < 2:
-        return out
-    # Earlier and longer wins; emails first, as a name inside an email is none.
-    out.sort(key=lambda c: (c[0] != "email", c[1], -(c[2] - c[1])))
-    kept: list[tuple[str, int, int, int, int]] = []
-    for c in out:
-        if all(c[2] <= k[1] or c[1] >= k[2] for k in kept):
-            kept.append(c)
-    return kept
+                if k != LOOSE:
+                    out.append(("address", m.start(), m.end(), 1, 1 if "," in m.group(0) or k == 4 and re.search("[省市区县]", m.group(0)) else -1))
+                elif left_of.search(t[max(0, m.start() - 40) : m.start()]) and not any(c[0] == "address" and c[1] < m.end() and m.start() < c[2] for c in out):
+                    out.append(("address", m.start(), m.end(), -1, 1))
+    # Names are looked for beside emails, account numbers and addresses of a known form.
+    rest = t
+    for a, b in firm + [(c[1], c[2]) for c in out if c[0] == "address" and c[3] == 1]:
+        rest = f"{rest[:a]}{'0' * (b - a)}{rest[b:]}"
+    out += [("person_name", *c) for c in _names(rest)]
+    if not t.isascii():
+        seen = set()
+        for k, r in enumerate(_ZH_NAMES):
+            for m in r.finditer(t):
+                s, e = m.span(1)
+                if s not in seen:
+                    seen.add(s)
+                    out.append(("person_name", s, e, 1 if k in (0, 1) else -1, 1 if _ZH_SURNAME.match(t, s) else -1))
+    return out
 
 
 def _shape(v: str) -> str:
@@ -215,30 +311,37 @@ def describe(t: str, c: tuple[str, int, int, int, int]) -> tuple[int, list[int]]
         pattern = pattern * 3 + (v + 1)
     lw = re.findall(r"[^\W\d_]+", left[-24:])
     rw = re.match(r"\W{0,3}([^\W\d_]+)", right)
+    if kind == "person_name":
+        # The words themselves: what the corpus often has beside no name's context is learned to be none.
+        words = re.findall(r"[^\W\d_]+", t[s:e].lower()) or [""]
+        names = [_h(kind, "first", words[0]), _h(kind, "last", words[-1]), _h(kind, "end", words[-1][-3:]), _h(kind, "words", min(5, len(words))), _h(kind, "mark", t[e : e + 1], t[s - 1 : s])]
+    else:
+        names = []
     feats = [_h(kind, "bias")] + [_h(kind, n, v) for n, v in zip(LABELERS, votes)]
     feats += [_h(kind, "shape", _shape(t[s:e])), _h(kind, "left", lw[-1].lower()[-12:] if lw else ""), _h(kind, "right", rw.group(1).lower()[:4] if rw else right[:1])]
-    return pattern, feats
+    return pattern, feats + names
 
 
-_CAND = pa.schema([("row_id", pa.int64()), ("kind", pa.int8()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("pattern", pa.int32()), ("feats", pa.list_(pa.int32()))])
-_CAND_DDL = "row_id long, kind tinyint, start_pos long, end_pos long, pattern int, feats array<int>"
+_SPAN = pa.struct([("kind", pa.int8()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("pattern", pa.int32()), ("feats", pa.list_(pa.int32()))])
+_CAND = pa.schema([("row_id", pa.int64()), ("spans", pa.list_(_SPAN))])
+_CAND_DDL = "row_id long, spans array<struct<kind: tinyint, start_pos: bigint, end_pos: bigint, pattern: int, feats: array<int>>>"
 
 
 def _candidates(batches):
     for b in batches:
-        cols: list[list] = [[] for _ in _CAND]
+        ids, spans = [], []
         for rid, text in zip(b.column("row_id").to_pylist(), b.column("text").to_pylist()):
-            if not text:
-                continue
-            found_ = propose(text)
+            t = normal(text or "")
+            found_ = propose(text, t) if text else None
             if not found_:
                 continue
-            t = normal(text)
+            rows = []
             for c in found_:
                 pattern, feats = describe(t, c)
-                for col, v in zip(cols, (rid, KINDS.index(c[0]), c[1], c[2], pattern, feats)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CAND)], schema=_CAND)
+                rows.append({"kind": KINDS.index(c[0]), "start_pos": c[1], "end_pos": c[2], "pattern": pattern, "feats": feats})
+            ids.append(rid)
+            spans.append(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(_SPAN))], schema=_CAND)
 
 
 def vote_model(counts: list[tuple[int, int, int]], rounds: int = 100) -> dict[tuple[int, int], float]:
@@ -260,12 +363,16 @@ def vote_model(counts: list[tuple[int, int, int]], rounds: int = 100) -> dict[tu
             prior = (w1.sum() + 1) / (n.sum() + 2)
             logit = np.full(len(rows), np.log(prior / (1 - prior)))
             for j in range(L):
-                for v in range(3):
-                    at = votes[:, j] == v
-                    # Pseudo-counts hold the labelers better than chance: a yes speaks for, a no against.
-                    a = (w1[at].sum() + (8 if v == 2 else 1)) / (w1.sum() + 10)
-                    c = (w0[at].sum() + (8 if v == 1 else 1)) / (w0.sum() + 10)
-                    logit[at] += np.log(a / c)
+                silent, yes, no = votes[:, j] == 0, votes[:, j] == 2, votes[:, j] == 1
+                # How often it is silent is drawn to its rate over all, so that one that never speaks says nothing.
+                rate = n[silent].sum() / n.sum()
+                s1, s0 = [(w[silent].sum() + 10 * rate + 1e-9) / (w.sum() + 10 + 2e-9) for w in (w1, w0)]
+                # Pseudo-counts hold what it says better than chance: a yes speaks for, a no against.
+                y1 = (w1[yes].sum() + 8) / (w1[yes].sum() + w1[no].sum() + 9)
+                y0 = (w0[yes].sum() + 1) / (w0[yes].sum() + w0[no].sum() + 9)
+                logit[silent] += np.log(s1 / s0)
+                logit[yes] += np.log((1 - s1) * y1 / ((1 - s0) * y0))
+                logit[no] += np.log((1 - s1) * (1 - y1) / ((1 - s0) * (1 - y0)))
             new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             if np.abs(new - post).max() < 1e-6:
                 post = new
@@ -299,31 +406,44 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 def fit(cands: DataFrame) -> np.ndarray:
     """Weights of the span classifier; what comes to the driver is bounded (patterns, TRAIN_SPANS rows)."""
-    counts = [(r.kind, r.pattern, r.n) for r in cands.groupBy("kind", "pattern").agg(F.count("*").alias("n")).collect()]
+    c = cands.select("row_id", F.explode("spans").alias("c")).select("row_id", "c.*")
+    counts = [(r.kind, r.pattern, r.n) for r in c.groupBy("kind", "pattern").agg(F.count("*").alias("n")).collect()]
     post = vote_model(counts)
     total = max(1, sum(n for _, _, n in counts))
     share = min(1.0, 0.9 * TRAIN_SPANS / total)
-    sample = cands.where(F.pmod(F.xxhash64("row_id", "start_pos"), F.lit(1_000_000)) < int(share * 1_000_000)).select("kind", "pattern", "feats").limit(TRAIN_SPANS).collect()
+    sample = c.where(F.pmod(F.xxhash64("row_id", "start_pos"), F.lit(1_000_000)) < int(share * 1_000_000)).select("kind", "pattern", "feats").limit(TRAIN_SPANS).collect()
     return train_classifier([list(r.feats) for r in sample], np.array([post[r.kind, r.pattern] for r in sample]))
 
 
-def _decider(weights: np.ndarray):
-    logit = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+_LOGIT = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
+
+def resolve(scored: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """Of (score, kind, start, end) those that pass, without overlaps: emails and the most probable first, then earlier and longer."""
+    kept: list[tuple[float, int, int, int]] = []
+    for c in sorted((c for c in scored if c[0] >= _LOGIT), key=lambda c: (c[1] != 0, -c[0], c[2], c[2] - c[3])):
+        if all(c[3] <= k[2] or c[2] >= k[3] for k in kept):
+            kept.append(c)
+    return kept
+
+
+def _decider(weights: np.ndarray):
     def decide_(batches):
         for b in batches:
-            keep = [weights[f].sum() >= logit for f in b.column("feats").to_pylist()]
-            kinds = [KINDS[k] for k in b.column("kind").to_pylist()]
-            out = [b.column("tbl"), b.column("row_id"), pa.array(kinds, pa.string()), b.column("start_pos"), b.column("end_pos")]
-            yield pa.RecordBatch.from_arrays(out, names=["tbl", "row_id", "pii_type", "start_pos", "end_pos"]).filter(pa.array(keep, pa.bool_()))
+            cols: list[list] = [[], [], [], [], []]
+            for tbl, rid, spans in zip(*[b.column(c).to_pylist() for c in ("tbl", "row_id", "spans")]):
+                for _, kind, s, e in resolve([(float(weights[c["feats"]].sum()), c["kind"], c["start_pos"], c["end_pos"]) for c in spans]):
+                    for col, v in zip(cols, (tbl, rid, KINDS[kind], s, e)):
+                        col.append(v)
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=["tbl", "row_id", "pii_type", "start_pos", "end_pos"])
 
     return decide_
 
 
 def decide(cands: DataFrame, weights: np.ndarray) -> DataFrame:
     """Candidates whose score passes: (tbl, row_id, pii_type, start_pos, end_pos)."""
-    src = cands.select("tbl", "row_id", "kind", "start_pos", "end_pos", "feats")
-    return src.mapInArrow(_decider(weights), "tbl string, row_id long, pii_type string, start_pos long, end_pos long")
+    return cands.select("tbl", "row_id", "spans").mapInArrow(_decider(weights), "tbl string, row_id long, pii_type string, start_pos long, end_pos long")
 
 
 def _sources(chats: DataFrame, events: DataFrame):
@@ -344,8 +464,6 @@ def found(chats: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _redactor(weights: np.ndarray):
-    logit = float(np.log(THRESHOLD / (1 - THRESHOLD)))
-
     def redact_(batches):
         for b in batches:
             texts, n = [], []
@@ -353,9 +471,9 @@ def _redactor(weights: np.ndarray):
                 spans = []
                 if text:
                     t = normal(text)
-                    spans = [c for c in propose(text) if weights[describe(t, c)[1]].sum() >= logit]
-                for kind, s, e, _, _ in sorted(spans, key=lambda c: -c[1]):
-                    text = f"{text[:s]}[{kind.upper()}]{text[e:]}"
+                    spans = resolve([(float(weights[describe(t, c)[1]].sum()), KINDS.index(c[0]), c[1], c[2]) for c in propose(text, t)])
+                for _, kind, s, e in sorted(spans, key=lambda c: -c[2]):
+                    text = f"{text[:s]}[{KINDS[kind].upper()}]{text[e:]}"
                 texts.append(text)
                 n.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("row_id"), pa.array(texts, pa.string()), pa.array(n, pa.int32())], names=["tbl", "row_id", "redacted", "n_mentions"])
