@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracelake.llm import endings, leaks, truncation
+from tracelake.llm import endings, leaks, splits, truncation
 
 WHOLE = [(i, f"The checkpoint planner restored report {i} after the review. The judge read the report.", "s") for i in range(40)]
 
@@ -91,3 +91,26 @@ def test_scan_and_join_agree(spark, monkeypatch):
     want = found(spark, docs, [TRAIN])
     monkeypatch.setattr(leaks, "MAX_WINDOWS", 1)
     assert found(spark, docs, [TRAIN]) == want and (0, "e0") in want
+
+
+# --- splits ----------------------------------------------------------------------------------
+
+
+def test_pairs_of_large_components_are_spread(spark, monkeypatch):
+    rows = [(f"c{i:02d}", "acct-7", None, None) for i in range(30)] + [(f"d{i}", "acct-9", None, None) for i in range(3)]
+    c = spark.createDataFrame(rows, "case_id string, author_id string, origin_trace_id string, seed_files array<string>")
+    want = {tuple(r) for r in splits.tied_pairs(c).collect()}
+    monkeypatch.setattr(splits, "PAIRS_ABOVE", 7)
+    assert {tuple(r) for r in splits.tied_pairs(c).collect()} == want and len(want) == 30 * 29 // 2 + 3
+    assert sorted((r.component, r.n_cases) for r in splits.component_members(c).select("component", "n_cases").distinct().collect()) == [("c00", 30), ("d0", 3)]
+
+
+def test_rendezvous_keeps_old_components(spark):
+    old = [(f"k{i}", f"d{i % 3}", 1 + i % 7) for i in range(400)]
+    sizes = spark.createDataFrame(old, "component string, domain string, n long")
+    fit = splits.fit_rendezvous(sizes)
+    first = {r.component: r.split for r in splits.choose(sizes, fit).collect()}
+    more = spark.createDataFrame(old + [(f"new{i}", f"d{i % 5}", 900) for i in range(300)], "component string, domain string, n long")
+    second = {r.component: r.split for r in splits.choose(more, fit).collect()}
+    assert all(second[k] == v for k, v in first.items()) and len(second) == 700
+    assert splits.fit_rendezvous(sizes) == fit and set(first.values()) == set(splits.SPLITS)

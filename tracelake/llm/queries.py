@@ -34,6 +34,10 @@ def _p4_found(spark, d):
     return splits.tied_pairs(table(spark, d, "dataset_cases"))
 
 
+def _p4_components(spark, d):
+    return splits.component_members(table(spark, d, "dataset_cases"))
+
+
 def _p4_assignment(spark, d):
     return splits.assign_splits(table(spark, d, "rollouts"), table(spark, d, "dataset_cases"))
 
@@ -91,6 +95,7 @@ def queries():
         "p3_found": _p3_found,
         "p3_pieces": _p3_pieces,
         "p4_found": _p4_found,
+        "p4_components": _p4_components,
         "p4_assignment": _p4_assignment,
         "p4_shares": _p4_shares,
         "p5_found": _p5_found,
