@@ -1,8 +1,10 @@
 """Results at and beyond lengths and sizes that once were bounds, and texts unlike the test tables'."""
 
+import random
+
 import pytest
 
-from tracelake.llm import endings, leaks, splits, truncation
+from tracelake.llm import endings, leaks, pairs, splits, truncation
 
 WHOLE = [(i, f"The checkpoint planner restored report {i} after the review. The judge read the report.", "s") for i in range(40)]
 
@@ -114,3 +116,47 @@ def test_rendezvous_keeps_old_components(spark):
     second = {r.component: r.split for r in splits.choose(more, fit).collect()}
     assert all(second[k] == v for k, v in first.items()) and len(second) == 700
     assert splits.fit_rendezvous(sizes) == fit and set(first.values()) == set(splits.SPLITS)
+
+
+# --- pairs -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 15, 20, 2000])
+def test_refusals_of_any_length(n):
+    assert pairs.is_refusal("I can't help with that. " * n)
+    assert not pairs.is_refusal("I can't help with that. " * n + "The plan now lives in the archive and everybody can see it.")
+
+
+@pytest.mark.parametrize("text", ["I have to pass on this one.", "I'd rather not do that.", "I'm not willing to do that. Have a nice day.", "Lo siento, no puedo ayudar con eso.", "Das kann ich leider nicht tun."])
+def test_more_ways_to_decline(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Ho spostato il piano nella cartella e tutti possono vederlo ora.", "Je l'ai fait pour vous et le plan est dans le dossier avec les autres.", "Movi o plano para a pasta e agora todos eles estão lá também.",
+        "Я переместил план в архив, теперь его видят все.", "計画をアーカイブに移動しました。", "계획을 보관함으로 옮겼습니다.", "نقلت الخطة إلى الأرشيف ويمكن للجميع رؤيتها الآن", "Ik heb het plan naar de map verplaatst en nu kan iedereen het zien.",
+    ],
+)
+def test_other_languages(answer):
+    q = "Move the plan to the archive and tell me who can see it now."
+    assert pairs.profile(q, answer)[0] == "language"
+    assert pairs.profile(q, "The plan is now in the archive and everybody can see it.")[0] is None
+    assert pairs.profile(answer + " " + q, answer + " x")[0] != "language"
+
+
+def test_neighbours_across_borders(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    full = [" ".join(word() for _ in range(8)) for _ in range(300)]
+    # Shortened and then worded a little otherwise at the end: evidence comes from the neighbour on either side.
+    cut = [x[:30] + "zz" for x in full[::3]] + [x[:30] + "  " for x in full[1::3]]
+    rows = [(x, False) for x in full] + [(x, True) for x in cut]
+    d = spark.createDataFrame(rows, "text string, asked boolean")
+    got = []
+    for k in (1, 5, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", k)
+        got.append({r.text for r in pairs.shortened_texts(d).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] == got[2] and got[0]

@@ -23,10 +23,12 @@ answers too short to show a language are of none; a request_id delivered twice c
 from __future__ import annotations
 
 import difflib
+import functools
 import html
 import json
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -51,25 +53,38 @@ _BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _CLAUSE = re.compile(r"[,;:]\s+|[，、；：]\s*")
 _UNIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
 
-#: Function words by which a language shows.
+#: Function words by which a language in Latin letters shows.
 WORDS = {
-    "en": "the of and to in is that for with was were are this these those on by it i you your have has had be been not from which there all an at as or "
-    "now could still also please made created found gave here can will what how many no does whether every open find share move leave about done yes archived nothing "
-    "sorry who only them they their where some any old needed case",
-    "id": "yang di dan untuk dengan ini itu dari pada tidak saya anda akan sudah telah ada dalam ke oleh bisa juga semua bila agar kepada sebagai berikut adalah atau "
-    "berapa berkas ringkas buka ganti cari pindahkan lalu bagikan periksa apakah tetap berada selesai ya tim tentang komentar kata tempat menjadi salinan karena "
-    "maaf mereka setiap buat arsipkan hanya menyebut membuat menemukan butir",
-    "es": "el la los las de del que y en un una para con por se no es al lo su sus como más pero ya está están hay este esta estos todos también dime cada cuántos qué "
-    "abre busca mueve deja resume crea comprueba archivo carpeta copia cambios hecho listo sí elementos sobre donde si he hice ahora lugares siguen compártelo queda "
-    "tenían omití revisé otro puede",
-    "de": "der die das und in den von zu mit ist im für auf dem ein eine einen des sich nicht auch es an als wie sind wird wurde nach bei oder aus noch um wo "
-    "ich habe alle ohne steht gibt öffne suche verschiebe fasse zusammen ersetze jedes jetzt liegt sag mir bitte ob erledigt fertig nein kopie daher lässt dateien "
-    "welche viele prüfe lege keine nun wurden kommentar einträge geprüft sichtbar",
+    "en": "the of and to in is that for with was were are this these those on by it you your have has had be been not from which there all an at as or now could still also please what how many no does whether every "
+    "some any who only them they their where will can would should i we he she my our its do did but if when because about into over after before more most other such than then very here just",
+    "id": "yang di dan untuk dengan ini itu dari pada tidak saya anda akan sudah telah ada dalam ke oleh bisa juga semua bila agar kepada sebagai berikut adalah atau berapa apakah tetap lalu tentang karena setiap hanya "
+    "mereka kami kita dia jika seperti lebih tersebut belum masih harus dapat sangat setelah sebelum menjadi tanpa antara bagi serta maka namun tapi jadi lagi sama siapa apa mana kapan bagaimana tiap para ya",
+    "es": "el la los las de del que y en un una para con por se no es al lo su sus como más pero ya está están hay este esta estos estas todos todas también cada cuántos qué si sí he ha han donde dónde cuando sobre entre "
+    "sin hasta desde muy fue son ser era yo tú usted nos les le me te mi otro otra ahora porque quien cual ese esa eso hace o",
+    "de": "der die das und in den von zu mit ist im für auf dem ein eine einen des sich nicht auch es an als wie sind wird wurde nach bei oder aus noch um wo ich habe alle ohne sie wir ihr er man kann aber wenn dass nur "
+    "schon mehr sehr hier dort jetzt dann was wer welche diese dieser dieses jede jedes ja nein keine kein nun wurden werden hat haben war waren zum zur über unter vor durch gegen bitte ob daher so",
+    "fr": "le la les des du de et en un une pour avec par sur dans est sont ne pas que qui ce cette ces il elle nous vous ils je tu au aux plus mais ou où si son sa ses leur comme été être avoir fait tout tous toutes très "
+    "bien sans sous chez dont donc aussi entre après avant quand votre notre oui non",
+    "it": "il lo la i gli le di del della dei delle che e in un una per con non è sono al alla come più ma anche questo questa questi queste tutti tutte ho hai ha abbiamo hanno nel nella sul sulla dal dalla si ci mi ti se "
+    "dove quando perché chi cosa molto ancora già ora qui essere stato sua suo loro ogni senza tra fra dopo prima sì no",
+    "pt": "o a os as de do da dos das que e em um uma para com não é são no na nos nas por mais mas também este esta isso isto todos todas foi ser está estão há seu sua seus ou se como quando onde quem muito já ainda agora "
+    "eu você nós eles elas ao à pelo pela sem entre até depois antes cada foram tem têm sim",
+    "nl": "de het een en van in is dat op te zijn met voor niet aan er maar om ook als dan bij nog wel naar uit door over ze zij hij wij we ik je jij u mijn deze dit die was worden wordt werd heeft hebben had kan geen meer "
+    "alle alleen nu hier daar waar wat wie hoe zo zonder tussen onder ja nee",
 }
 _WORD_LANGS: dict[str, tuple[str, ...]] = {}
 for _l, _ws in WORDS.items():
     for _w in _ws.split():
         _WORD_LANGS[_w] = (*_WORD_LANGS.get(_w, ()), _l)
+#: Characters by which a script shows, and how many of them are about a word.
+SCRIPTS = {
+    "zh": (r"[\u3400-\u9fff]", 2), "ja": (r"[\u3040-\u30ff]", 2), "ko": (r"[\uac00-\ud7af]", 2), "ru": (r"[\u0400-\u04ff]", 5), "el": (r"[\u0370-\u03ff]", 5), "ar": (r"[\u0600-\u06ff]", 4),
+    "he": (r"[\u0590-\u05ff]", 4), "hi": (r"[\u0900-\u097f]", 4), "th": (r"[\u0e00-\u0e7f]", 5),
+}
+_SCRIPTS = {k: (re.compile(p), n) for k, (p, n) in SCRIPTS.items()}
+#: Letters that few languages use.
+_LETTERS = {"es": re.compile("[ñ¿¡]"), "de": re.compile("[ßä]"), "fr": re.compile("[œçêû]"), "pt": re.compile("[ãõ]"), "vi": re.compile("[ơưđ\u1ea0-\u1ef9]")}
+_BEYOND_LATIN = re.compile("[\u0370-\u1dff\u2e80-\U0010ffff]")
 #: Names of the languages in the languages, by which a question asks for one.
 ASKED = {
     "en": r"英语|英文|\benglish\b|\binggris\b|\binglés\b|\bingles\b|\benglisch\w*",
@@ -77,11 +92,20 @@ ASKED = {
     "id": r"印尼语|印度尼西亚语|印尼文|\bindonesian?\b|\bbahasa indonesia\b|\bindonesio\b|\bindonesisch\w*",
     "es": r"西班牙语|西班牙文|西语|\bspanish\b|\bspanyol\b|\bespañol\b|\bcastellano\b|\bspanisch\w*",
     "de": r"德语|德文|\bgerman\b|\bjerman\b|\balemán\b|\bdeutsch\w*",
+    "fr": r"法语|法文|\bfrench\b|\bprancis\b|\bfrancés\b|\bfranzösisch\w*|\bfrançais\b",
+    "it": r"意大利语|\bitalian\b|\bitalia\b|\bitaliano\b|\bitalienisch\w*",
+    "pt": r"葡萄牙语|\bportuguese\b|\bportugis\b|\bportugués\b|\bportuguês\b|\bportugiesisch\w*",
+    "nl": r"荷兰语|\bdutch\b|\bbelanda\b|\bneerlandés\b|\bniederländisch\w*|\bnederlands\b",
+    "ru": r"俄语|俄文|\brussian\b|\brusia\b|\bruso\b|\brussisch\w*|русск",
+    "ja": r"日语|日文|日本語|\bjapanese\b|\bjepang\b|\bjaponés\b|\bjapanisch\w*",
+    "ko": r"韩语|韩文|한국어|\bkorean?\b|\bcoreano\b|\bkoreanisch\w*",
+    "ar": r"阿拉伯语|العربية|\barabic\b|\barab\b|\bárabe\b|\barabisch\w*",
 }
 _ASKED = {k: re.compile(v, re.I) for k, v in ASKED.items()}
 #: Ways to decline a whole task.
 REFUSAL = re.compile(
-    r"\b(?:can(?:no|')t|cannot|can not|won't|will not|(?:am|be|i'm) (?:un|not )able to|unable to|not able to)\b[^.!?\n]{0,40}\b(?:help|assist|do (?:this|that|it|so|what)|comply|carry out|"
+    r"\bi(?:'d| would)? (?:rather|prefer) not\b|\bi(?:'d| would) prefer (?:not )?to (?:not )?\b|\b(?:have|need|going|want) to pass on (?:this|that|it)\b|\b(?:not going|not willing|unwilling|not inclined) to\b"
+    r"|\b(?:can(?:no|')t|cannot|can not|won't|will not|(?:am|be|i'm) (?:un|not )able to|unable to|not able to)\b[^.!?\n]{0,40}\b(?:help|assist|do (?:this|that|it|so|what)|comply|carry out|"
     r"fulfil+|complete|provide|process|support|perform|answer|continue|proceed|accommodate|engage)"
     r"|\b(?:must|have to|need to|forced to) (?:decline|refuse)|\bi (?:decline|refuse)\b|\bsorry, (?:but )?no\b|^(?:sorry|apologies)[, ]+(?:i|but)\b"
     r"|\b(?:against|outside (?:of )?|beyond|violates?|not within) (?:my|what i am|what i'm|the|our) (?:guidelines?|polic\w+|rules|permitted|allowed|scope|principles|instructions)"
@@ -93,6 +117,12 @@ REFUSAL = re.compile(
     r"|\b(?:kann|könnte|darf|werde|möchte)\b[^.!?\n]{0,50}\bnicht\b[^.!?\n]{0,30}(?:helfen|tun|ausführen|erfüllen|bearbeiten|machen|unterstützen|erledigen|weiterhelfen|fortfahren|fortsetzen|weitermachen|beantworten|nachkommen)|\bnicht (?:helfen|weiterhelfen|ausführen|erlaubt|gestattet|befugt|zulässig)\b|muss (?:ich )?(?:\w+ )?ablehnen|\blehne\b[^.!?\n]{0,30}\bab\b|gegen meine (?:richtlinien|regeln|vorgaben)|verstößt gegen|außerhalb (?:dessen|meiner)|kein(?:e|en)? (?:zugriff|möglichkeit|befugnis|zugang)|als (?:automatischer |ki-)?assistent|leider (?:nein|kann ich)",
     re.I,
 )
+#: Strings of which every way to decline has one.
+_DECLINES = (
+    "n't", "not", "unable", "unwilling", "prefer", "pass on", "declin", "refus", "sorry", "apolog", "against", "outside", "beyond", "violat", "no way", "no ability", "no permission", "as a", "无法", "不能", "不可以", "没法", "没办法",
+    "做不了", "帮不了", "不便", "违反", "超出", "拒绝", "婉拒", "不会", "作为", "不允许", "不被允许", "不方便", "tidak", "menolak", "luar", "melanggar", "maaf", "sayangnya", "sebagai", "no ", "neg", "rechaz", "niego", "contra", "fuera",
+    "siento", "como asis", "nicht", "ablehn", "lehne", "gegen", "verstö", "außerhalb", "kein", "assistent", "leider",
+)
 #: Units that may stand beside a refusal without making it an answer.
 _POLITE = re.compile(
     r"\?\s*$|？\s*$|\b(?:contact|administrator|have a nice|good day|thanks?|thank you|let me know|instead|please|comfortable|apolog)|管理员|谢谢|感谢|祝您|请联系|hubungi|terima kasih|semoga|administrator|contacta|contacte|gracias|buen día|que tenga"
@@ -134,20 +164,31 @@ def unwrap(answer: str | None) -> tuple[str, bool]:
     return a, False
 
 
+_INK = re.compile(r"[^\W_]+")
+_LONGEST_FILLER = max(map(len, FILLERS))
+
+
 def says_nothing(text: str) -> bool:
-    t = unicodedata.normalize("NFKC", html.unescape(text)).casefold()
+    t = unicodedata.normalize("NFKC", html.unescape(text) if "&" in text else text).casefold()
     t = _TAGS.sub(" ", t)
+    # More letters than any filler has: no need to look at every character.
+    if sum(map(len, _INK.findall(t))) > _LONGEST_FILLER:
+        return False
     t = "".join(" " if unicodedata.category(c)[0] in "PZC" or c in "`~^|+=<>$" else c for c in t)
     return " ".join(t.split()) in FILLERS
 
 
 def plain(text: str) -> str:
     """Letters and digits only, without case and width."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return "".join(_INK.findall(unicodedata.normalize("NFKC", text).casefold()))
+
+
+#: Questions come with many answers each, so what is computed on one is kept.
+_plain_question = functools.lru_cache(maxsize=4096)(plain)
 
 
 def repeats_question(q: str, a: str) -> bool:
-    pq, pa_ = plain(q), plain(a)
+    pq, pa_ = _plain_question(q), plain(a)
     if len(pq) < 4 or not pa_:
         return False
     if pq in pa_:
@@ -159,16 +200,23 @@ def repeats_question(q: str, a: str) -> bool:
     return difflib.SequenceMatcher(None, pq, pa_, autojunk=False).ratio() >= 0.97
 
 
+_LATIN = re.compile(r"[^\W\d_\u0370-\u1dff\u2e80-\U0010ffff]+")
+
+
 def is_refusal(text: str) -> bool:
     """Every unit declines or is polite beside it; a setback among results is none."""
     t = unicodedata.normalize("NFKC", text).replace("’", "'").strip()
-    if len(t) > 400 or not REFUSAL.search(_LINK.sub("", t)):
-        return False
-    masked = _FILE.sub("file", t)
-    units = [u.strip(" \t-*•\"'“”") for u in _UNIT.split(masked) if u.strip()]
     hit = False
-    for u in units[:]:
-        if REFUSAL.search(u):
+    # Unit by unit, so that a text that gives a result is left at its first sentence.
+    at = 0
+    while at < len(t):
+        m = _UNIT.search(t, at)
+        unit, at = (t[at : m.start()], max(m.end(), at + 1)) if m else (t[at:], len(t))
+        u = _FILE.sub("file", _LINK.sub("", unit)).strip(" \t\n-*•\"'“”")
+        if not u:
+            continue
+        low = u.lower()
+        if any(x in low for x in _DECLINES) and REFUSAL.search(u):
             hit = True
         elif not _POLITE.search(u) and len(u) > 12:
             return False
@@ -176,21 +224,31 @@ def is_refusal(text: str) -> bool:
 
 
 def languages(text: str) -> dict[str, float]:
-    """Evidence per language: CJK characters and function words, outside quotes and file names."""
+    """Evidence per language in words: scripts, letters and function words, outside quotes and file names."""
     t = _QUOTED.sub(" ", _FILE.sub(" ", _LINK.sub(" ", text)))
-    han = sum(1 for c in t if "㐀" <= c <= "鿿")
-    score = {"zh": han / 2.0} if han else {}
-    for w in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFKC", t).casefold()):
+    t = unicodedata.normalize("NFKC", t).casefold()
+    score: dict[str, float] = {}
+    if not t.isascii() and _BEYOND_LATIN.search(t):
+        for lang, (r, n) in _SCRIPTS.items():
+            if k := len(r.findall(t)):
+                score[lang] = k / n
+        if "ja" in score:  # Kana are the part of Japanese that Chinese lacks.
+            score["ja"] += score.pop("zh", 0.0)
+    known = Counter(_LATIN.findall(t))
+    for w, k in known.items():
         ls = _WORD_LANGS.get(w, ())
         for lang in ls:
-            score[lang] = score.get(lang, 0.0) + 1.0 / len(ls)
-        if "ñ" in w or w[:1] in "¿¡":
-            score["es"] = score.get("es", 0.0) + 0.5
-        if "ß" in w or "ä" in w:
-            score["de"] = score.get("de", 0.0) + 0.5
+            score[lang] = score.get(lang, 0.0) + k / len(ls)
+        if not w.isascii():
+            for lang, r in _LETTERS.items():
+                if r.search(w):
+                    score[lang] = score.get(lang, 0.0) + 0.5 * k
     return score
 
 
+_question_languages = functools.lru_cache(maxsize=4096)(languages)
+
+
 def wrong_language(q: str, a: str) -> bool:
     sa = languages(a)
     if not sa:
@@ -198,13 +256,14 @@ def wrong_language(q: str, a: str) -> bool:
     best = max(sa, key=lambda k: (sa[k], k))
     if sa[best] < 2.0 and not (len(a) < 40 and sa[best] >= 1.0 and len(sa) == 1):
         return False
-    sq = languages(q)
+    sq = _question_languages(q)
     if not sq:
         return False
     top = max(sq.values())
     uses = {k for k, v in sq.items() if v >= max(1.0, 0.5 * top)}
-    asks = {k for k, r in _ASKED.items() if r.search(q)}
-    ok = uses | asks
+    if best in uses:
+        return False
+    ok = uses | {k for k, r in _ASKED.items() if r.search(q)}
     if best in ok:
         return False
     return sa[best] >= 2.0 * max([sa.get(k, 0.0) for k in ok], default=0.0) + 0.5
@@ -326,7 +385,7 @@ def _neighbours(batches):
                     waiting.append(x)
             pending = waiting
             if first:
-                out.append((text, False, "first", part))
+                out.append((text, asked, "first", part))
                 first = False
             if asked:
                 if runs_on(text, prev):
@@ -335,7 +394,7 @@ def _neighbours(batches):
                     pending.append(text)
             prev = text
         yield _neigh_batch(out)
-    yield _neigh_batch([(x, False, "waiting", part) for x in pending])
+    yield _neigh_batch([(x, False, "waiting", part) for x in pending] + ([(prev, False, "last", part)] if not first else []))
 
 
 def _neigh_batch(rows):
@@ -348,12 +407,20 @@ def shortened_texts(texts: DataFrame, name: str = "neighbours") -> DataFrame:
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
     near = materialize(ordered.mapInArrow(_neighbours, "text string, shortened boolean, border string, part int"), name)
     inside = near.where("border is null and shortened").select("text")
-    # One first text a partition, and the few nested prefixes that still wait at its end.
-    w = Window.orderBy("part", F.col("border") != "first").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("border") == "first", F.col("text")), ignorenulls=True).over(w)
-    edge = near.where("border is not null").withColumn("following", following).where("border = 'waiting'")
-    more = F.length(F.regexp_replace(F.expr("substring(following, length(text) + 1)"), r"[^\p{L}\p{N}]", "")) >= 2
-    return inside.unionByName(edge.where(F.expr("startswith(following, text)") & more).select("text"))
+    # A first and a last text a partition, and the few nested prefixes that still wait at its end.
+    edge = near.where("border is not null")
+    w = Window.orderBy("part", F.when(F.col("border") == "first", 0).when(F.col("border") == "waiting", 1).otherwise(2))
+    following = F.first(F.when(F.col("border") == "first", F.col("text")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(F.when(F.col("border") == "last", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.withColumn("other", F.when(F.col("border") == "waiting", following).when((F.col("border") == "first") & F.col("shortened"), before))
+    return inside.unionByName(edge.where("other is not null").select("text", "border", "other").mapInArrow(_edges, "text string"))
+
+
+def _edges(batches):
+    for b in batches:
+        rows = zip(*[b.column(c).to_pylist() for c in ("text", "border", "other")])
+        kept = [t for t, border, o in rows if runs_on(t, o) or border == "waiting" and continues(t, o)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["text"])
 
 
 #: A length is a spike if it has so many times the mean of the WIDTH lengths on either side (itself left out, absent lengths
