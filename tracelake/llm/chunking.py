@@ -173,3 +173,10 @@ def split_oversized(messages: DataFrame, providers: DataFrame) -> DataFrame:
 def found(messages: DataFrame, providers: DataFrame) -> DataFrame:
     """message_id of every content that had to be cut."""
     return split_oversized(messages, providers).where("piece = 0 and n_pieces > 1").select("message_id")
+
+
+def reassembled(pieces: DataFrame) -> DataFrame:
+    """(message_id, n_chars, text_md5) of the contents put together again from their pieces without the overlaps."""
+    core = F.struct("piece", F.expr("substring(piece_text, overlap_chars + 1)").alias("core"))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(core)), lambda x: x["core"]))  # the pieces of one content
+    return pieces.groupBy("message_id").agg(whole.alias("text")).select("message_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))

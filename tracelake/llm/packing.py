@@ -9,6 +9,8 @@ only into a new window if none does.  A text longer than a window fills whole wi
 is an item like any other.  A shard loses at most its last windows, so with tens of thousands of
 items a shard the sharding costs next to nothing, and no provider's rows meet in one task.
 
+A window is named by provider_id, shard and window together.
+
 Defined results: a null or empty text is an item of size 0 and still gets a window; null or unknown
 providers take the default provider; the second delivery of a doc_id is dropped; ties go by doc_id.
 """
@@ -20,6 +22,7 @@ import os
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +37,22 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _CACHE: dict = {}
 
 
+def _where(folder: str, vocabulary: str) -> str:
+    """The vocabulary file: the copy that the driver sent to the workers, else that in the folder."""
+    try:
+        sent = SparkFiles.get(vocabulary)
+    except Exception:  # outside a session
+        sent = ""
+    return sent if sent and os.path.exists(sent) else os.path.join(folder, vocabulary)
+
+
 def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     """The tokenizer, built once per Python worker."""
     key = (folder, vocabulary)
     if key not in _CACHE:
         import tiktoken
 
-        with open(os.path.join(folder, vocabulary), "rb") as f:
+        with open(_where(folder, vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _CACHE[key] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _CACHE[key]
@@ -59,6 +71,9 @@ def _counter(folder: str, vocabulary: str):
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, provider_id, n_tokens), one row per doc_id."""
     ship(docs.sparkSession)
+    path = os.path.join(folder, vocabulary)
+    if os.path.exists(path) and not any(x.endswith("/" + vocabulary) for x in docs.sparkSession.sparkContext.listFiles):
+        docs.sparkSession.sparkContext.addFile(path)  # once a session; a megabyte, whatever the data
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "provider_id", "text")
     counted = src.mapInArrow(_counter(folder, vocabulary), "doc_id long, provider_id string, n_tokens int")
     return counted.groupBy("doc_id").agg(F.min_by("provider_id", "n_tokens").alias("provider_id"), F.min("n_tokens").alias("n_tokens"))
@@ -162,10 +177,23 @@ def windows(filled: DataFrame) -> DataFrame:
 
 
 def window_report(filled: DataFrame) -> DataFrame:
-    """Per provider: windows, tokens, unused share of all capacity, texts and divided texts."""
+    """Per provider: windows, the least number any filling needs, tokens, unused share of all capacity, texts and divided texts."""
     w = filled.groupBy("provider_id", "shard", "window").agg(F.max("seq_length").alias("cap"), F.sum("n_tokens").alias("used"), F.count("*").alias("n"))
     d = filled.groupBy("provider_id").agg(F.count_if(F.expr("piece = 0")).alias("n_docs"), F.count_if(F.expr("piece = 0 and n_pieces > 1")).alias("n_divided"))
     return w.groupBy("provider_id").agg(
-        F.count("*").alias("n_windows"), F.sum("used").alias("n_tokens"), F.max(F.col("used") - F.col("cap")).alias("most_over"),
+        F.count("*").alias("n_windows"), F.ceil(F.sum("used") / F.max("cap")).alias("least_windows"), F.sum("used").alias("n_tokens"), F.max(F.col("used") - F.col("cap")).alias("most_over"),
         F.round(1 - F.sum("used") / F.sum("cap"), 6).alias("unused_share"),
     ).join(d, "provider_id")
+
+
+def filling_faults(filled: DataFrame) -> DataFrame:
+    """Per provider: texts placed, and what a filling must not do: texts placed twice or with tokens missing, windows over capacity, texts divided that fit."""
+    d = filled.groupBy("provider_id", "doc_id").agg(
+        F.count("*").alias("n"), F.max("n_pieces").alias("n_pieces"), F.count_distinct("piece").alias("k"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("upto"), F.max("seq_length").alias("cap")
+    )
+    d = d.groupBy("provider_id").agg(
+        F.count("*").alias("n_docs"), F.count_if((F.col("n") != F.col("n_pieces")) | (F.col("k") != F.col("n_pieces"))).alias("n_not_once"), F.count_if(F.col("tokens") != F.col("upto")).alias("n_with_gaps"),
+        F.count_if((F.col("n_pieces") > 1) & (F.col("tokens") <= F.col("cap"))).alias("n_divided_for_nothing"),
+    )
+    over = windows(filled).groupBy("provider_id").agg(F.count_if(F.col("unused") < 0).alias("n_over_capacity"))
+    return d.join(over, "provider_id")

@@ -308,3 +308,10 @@ def collapse_repeats(events: DataFrame, keep_singles: bool = True) -> DataFrame:
 def found(events: DataFrame) -> DataFrame:
     """Longest runs of two or more events: request_id, first_index, last_index."""
     return collapse_repeats(events, keep_singles=False).where("n_events >= 2").select("request_id", "first_index", "last_index")
+
+
+def kept_events(collapsed: DataFrame) -> DataFrame:
+    """Per request: events in its runs, its first start and last end; as many as before the collapse."""
+    return collapsed.groupBy("request_id").agg(
+        F.sum("n_events").alias("n_events"), F.unix_micros(F.min("first_started")).alias("first_us"), F.unix_micros(F.max("last_ended")).alias("last_us")
+    )

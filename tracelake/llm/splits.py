@@ -237,3 +237,8 @@ def split_report(assigned: DataFrame) -> DataFrame:
     per = assigned.groupBy("domain", "split").agg(F.count("*").alias("n_records"), F.count_distinct("case_id").alias("n_cases"))
     tot = assigned.groupBy("domain").agg(F.count("*").alias("n_domain"))
     return per.join(tot, "domain").select("domain", "split", "n_records", "n_cases", F.round(F.col("n_records") / F.col("n_domain"), 6).alias("share"))
+
+
+def component_records(assigned: DataFrame) -> DataFrame:
+    """Per component: records, cases and the number of splits they lie in (one, if the assignment holds together)."""
+    return assigned.groupBy("component").agg(F.count("*").alias("n_records"), F.count_distinct("case_id").alias("n_cases"), F.count_distinct("split").alias("n_splits"))
