@@ -240,7 +240,7 @@ def test_label_shift_takes_long_messages(spark, tmp_path):
             mask = [int(x > 3) for x in tok[1:]] + [0]
             labels = [n if m else 0 for n, m in zip(tok[1:] + [0], mask)]
             want[i] = tuple(",".join(map(str, x)) for x in (mask, labels, range(len(tok)), (tok + [0] * 8)[:8]))
-    got = {r.message_id: (r["mask"], r["labels"], r["position_ids"], r["padded"]) for r in Q.Q["label_shift_and_padding_whole"](spark, str(tmp_path)).collect()}
+    got = {r.message_id: (r["mask"], r["labels"], r["position_ids"], r["padded"]) for r in Q.Q["label_shift_and_padding"](spark, str(tmp_path)).collect()}
     assert got == want
 
 

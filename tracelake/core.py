@@ -43,11 +43,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests on one machine) a folder of our own is made.
+    Only on one machine, where that setting may be unset, a folder of our own is made; on a cluster it must be set.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if not _LOCAL_DIRS:
         _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="tracelake-"))
         atexit.register(shutil.rmtree, _LOCAL_DIRS[0], True)

@@ -7,7 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _URL = re.compile(r"https?://[^\s\"<>)]+")
@@ -39,35 +39,51 @@ def sanitize(value, labels: dict | None = None):
     return value
 
 
-def reports_error(value, depth: int = 0) -> bool:
-    """Whether a nested value reports an error; strings that hold JSON are opened, schemas are not read."""
-    if depth > 20:
-        return False
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k.lower() in SCHEMA_KEYS:
-                continue
-            if k.lower() in ERROR_KEYS and v not in (None, "", False, [], {}):
-                return True
-            if reports_error(v, depth + 1):
+#: Keys that say how a call went, and what they say of one that failed.
+OUTCOME_KEYS = frozenset("success succeeded ok successful".split())
+EXIT_KEYS = frozenset("exit_code exitcode returncode return_code".split())
+STATUS_KEYS = frozenset("status state outcome result_status".split())
+FAILED = frozenset("failed failure error errored".split())
+
+
+def reports_error(value) -> bool:
+    """Whether a nested value reports an error; strings that hold JSON are opened, schemas are not read.
+
+    An error is a non-empty error key, an outcome of false, an exit code other than 0, a status of failure or an
+    error message as text.
+    """
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            for k, v in value.items():
+                k = k.lower()
+                if k in SCHEMA_KEYS:
+                    continue
+                if k in ERROR_KEYS and v not in (None, "", False, [], {}):
+                    return True
+                if k in OUTCOME_KEYS and (v is False or isinstance(v, str) and v.strip().lower() == "false"):
+                    return True
+                if k in EXIT_KEYS and not isinstance(v, bool) and re.fullmatch(r"-?[0-9]+", str(v).strip()) and int(v) != 0:
+                    return True
+                if k in STATUS_KEYS and isinstance(v, str) and v.strip().lower() in FAILED:
+                    return True
+                todo.append(v)
+        elif isinstance(value, list):
+            todo += value
+        elif isinstance(value, str):
+            opened = _load(value) if value[:1] in ("{", "[") else value
+            if opened is not value:
+                todo.append(opened)
+            elif _ERROR_TEXT.search(value):
                 return True
-        return False
-    if isinstance(value, list):
-        return any(reports_error(v, depth + 1) for v in value)
-    if isinstance(value, str):
-        if value[:1] in "{[":
-            try:
-                return reports_error(json.loads(value), depth + 1)
-            except ValueError:
-                pass
-        return bool(_ERROR_TEXT.search(value))
     return False
 
 
 def _load(s):
     try:
         return json.loads(s)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return s
 
 
@@ -79,3 +95,16 @@ def sanitized_json(s: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def is_error_json(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else reports_error(_load(v)))
+
+
+def _examined(v: str | None) -> tuple[str | None, bool | None]:
+    if v is None:
+        return None, None
+    o = _load(v)
+    return json.dumps(sanitize(o), sort_keys=True, ensure_ascii=False), reports_error(o)
+
+
+@F.pandas_udf(StructType([StructField("sanitized", StringType()), StructField("is_error", BooleanType())]))
+def examined_json(s: pd.Series) -> pd.DataFrame:
+    """Both of the above from one reading of the JSON."""
+    return pd.DataFrame([_examined(v) for v in s], columns=["sanitized", "is_error"])

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tracelake.core import drop_materialized, materialize
 
 
-def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(child, parent) -> all (node, ancestor, distance); distances double each round, shortest kept."""
+#: Steps of a loop that one written table takes together; fewer jobs, the same result.
+STEPS = 3
+
+
+def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(child, parent) -> all (node, ancestor, distance); distances double each round, shortest kept.
+
+    The result has a row for every node and ancestor; to ask about some nodes only, see ``descendants``.
+    """
     cur = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).where("node <> ancestor").distinct(), "closure")
     n = cur.count()
     for _ in range(max_rounds):
@@ -19,6 +26,26 @@ def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
         drop_materialized(cur)
         m = new.count()
         cur = new
+        if m == n:
+            return cur
+        n = m
+    raise RuntimeError("the closure did not settle")
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without parents and nodes without children are taken away until none is left of either.
+
+    Nothing is left of an acyclic graph; else the cycles and the ways between them.
+    """
+    cur = materialize(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "peeled")
+    n = cur.count()
+    while n:
+        # Each side is read once a round, so the plan stays small.
+        d = cur.join(cur.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        d = d.join(cur.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
+        new = materialize(d, "peeled")
+        drop_materialized(cur)
+        cur, m = new, new.count()
         if m == n:
             break
         n = m
@@ -26,8 +53,36 @@ def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves; an acyclic graph gives none."""
-    return closure(edges).where("node = ancestor").select("node").distinct()
+    """Nodes that reach themselves; an acyclic graph gives none.
+
+    Kahn's peeling leaves the cycles and the ways between them; only there the reach of nodes is followed.
+    """
+    left = peeled(edges)
+    loops = edges.where("child = parent").select(F.col("child").alias("node"))
+    back = left.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
+    cur, n = materialize(back, "reach"), -1
+    while (m := cur.count()) != n:
+        n = m
+        b = cur.select(F.col("node").alias("_m"), F.col("ancestor").alias("_a"))
+        new = materialize(cur.unionByName(cur.join(b, F.col("ancestor") == F.col("_m")).select("node", F.col("_a").alias("ancestor"))).distinct(), "reach")
+        drop_materialized(cur)
+        cur = new
+    return cur.where("node = ancestor").select("node").unionByName(loops).distinct()
+
+
+def descendants(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(node) everything that depends on the given nodes, searched from these only."""
+    seen = materialize(of.select("node").distinct(), "seen")
+    front = seen
+    while True:
+        new = materialize(edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+        if not new.limit(1).count():
+            return seen.join(of.select("node"), "node", "left_anti")
+        both = materialize(seen.unionByName(new), "seen")
+        drop_materialized(seen)
+        if front is not seen:
+            drop_materialized(front)
+        seen, front = both, new
 
 
 def unknown_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,51 +95,73 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
 
 
-def effective_parents(edges: DataFrame, retained: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Nearest retained ancestors: (child, parent) with hidden nodes between them skipped."""
-    keep = retained.select(F.col("node").alias("parent")).withColumn("_kept", F.lit(True))
-    open_ = edges.select("child", "parent")
-    done = None
-    for _ in range(max_rounds):
-        j = materialize(open_.distinct().join(keep, "parent", "left"), "parents")
-        hit = j.where("_kept").select("child", "parent")
-        done = hit if done is None else done.unionByName(hit)
-        rest = j.where("_kept is null").select("child", F.col("parent").alias("_h"))
-        open_ = materialize(rest.join(edges.select(F.col("child").alias("_h"), "parent"), "_h").select("child", "parent").distinct(), "hidden")
-        if not open_.limit(1).count():
-            break
-    return done.distinct().join(retained.select(F.col("node").alias("child")), "child", "left_semi")
-
+def effective_parents(edges: DataFrame, retained: DataFrame) -> DataFrame:
+    """Nearest retained ancestors: (child, parent) with hidden nodes between them skipped.
 
-def prune_to_fixpoint(approved: DataFrame, edges: DataFrame, entity: list[str], max_rounds: int = 30) -> DataFrame:
+    Pairs already followed are left out of later rounds, so hidden cycles end too.
+    """
+    keep = retained.select(F.col("node").alias("parent")).withColumn("_kept", F.lit(True))
+    flagged = materialize(edges.select("child", "parent").distinct().join(keep, "parent", "left").select("child", "parent", F.coalesce("_kept", F.lit(False)).alias("_kept")), "edges")
+    step = flagged.select(F.col("child").alias("_h"), F.col("parent").alias("_p"), F.col("_kept").alias("_k"))
+    # Only retained children are asked for.
+    seen = materialize(flagged.join(retained.select(F.col("node").alias("child")).distinct(), "child", "left_semi"), "parents")
+    front = seen
+    while True:
+        further = front.where("not _kept").join(step, F.col("parent") == F.col("_h")).select("child", F.col("_p").alias("parent"), F.col("_k").alias("_kept")).distinct()
+        new = materialize(further.join(seen, ["child", "parent"], "left_anti").select("child", "parent", "_kept"), "hidden")
+        if not new.limit(1).count():
+            return seen.where("_kept").select("child", "parent")
+        both = materialize(seen.unionByName(new), "parents")
+        drop_materialized(seen)
+        if front is not seen:
+            drop_materialized(front)
+        seen, front = both, new
+
+
+def prune_to_fixpoint(approved: DataFrame, edges: DataFrame, entity: list[str]) -> DataFrame:
     """Approved (entity, state, turn) rows whose every dependency is approved at the same turn or before.
 
-    A removal can break others, so rounds of anti joins run until none breaks.
+    A removal can break others, so rounds of anti joins run until none breaks; every round but the last removes rows.
     """
-    cur = approved.select(*entity, "state", "turn")
+    cur = materialize(approved.select(*entity, "state", "turn"), "approved")
+    n = cur.count()
     dep = edges.select(F.col("child").alias("state"), "parent")
-    for _ in range(max_rounds):
+    while True:
         have = cur.select(*entity, F.col("state").alias("parent"), F.col("turn").alias("_pt"))
         need = cur.join(dep, "state").join(have, [*entity, "parent"], "left")
         broken = need.where(F.col("_pt").isNull() | (F.col("_pt") > F.col("turn"))).select(*entity, "state").distinct()
         nxt = materialize(cur.join(broken, [*entity, "state"], "left_anti"), "approved")
-        if nxt.count() == cur.count():
+        m = nxt.count()
+        drop_materialized(cur)
+        if m == n:
             return nxt
-        cur = nxt
-    return cur
+        cur, n = nxt, m
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): length of the longest way up, by rounds over the edges; needs an acyclic graph."""
-    cur = materialize(nodes.select("node", F.lit(0).alias("level")), "levels")
-    for _ in range(64):
-        up = edges.join(cur.select(F.col("node").alias("parent"), F.col("level").alias("_l")), "parent").groupBy(F.col("child").alias("node")).agg((F.max("_l") + 1).alias("_n"))
-        new = materialize(cur.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("_n", F.lit(0))).alias("level"), (F.coalesce("_n", F.lit(0)) > F.col("level")).alias("_c")), "levels")
-        moved = new.where("_c").limit(1).count()
-        cur = new.drop("_c")
-        if not moved:
-            return cur
-    raise ValueError("the graph has a cycle")
+    """(node, level): length of the longest way up; raises for a graph with a cycle.
+
+    Levels are peeled from the roots: a step raises the children of the nodes that moved in the step before, and one
+    written table takes STEPS of them.  An acyclic graph of n nodes settles in n steps, so one that still moves
+    then has a cycle.
+    """
+    n = nodes.count()
+    e = materialize(edges.select("child", "parent").distinct(), "edges")
+    cur = materialize(nodes.select("node", F.lit(0).alias("level"), F.lit(True).alias("_c")), "levels")
+    steps = 0
+    while True:
+        d = cur
+        for _ in range(STEPS):
+            up = e.join(d.where("_c").select(F.col("node").alias("parent"), F.col("level").alias("_l")), "parent").groupBy(F.col("child").alias("node")).agg((F.max("_l") + 1).alias("_n"))
+            d = d.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("_n", F.lit(0))).alias("level"), (F.coalesce("_n", F.lit(0)) > F.col("level")).alias("_c"))
+        new = materialize(d, "levels")
+        drop_materialized(cur)
+        cur, steps = new, steps + STEPS
+        if not new.where("_c").limit(1).count():
+            drop_materialized(e)
+            return new.select("node", "level")
+        if steps > n:
+            raise ValueError("the graph has a cycle")
 
 
 def verify_states(events: DataFrame, states: list[dict], entity: list[str]) -> DataFrame:
@@ -161,5 +238,5 @@ def insert_before(edges: DataFrame, target: str, new: str) -> DataFrame:
 
 def without_descendants(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
     """Nodes left when the given nodes and everything that depends on them are removed."""
-    down = closure(edges).join(of.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node")
+    down = descendants(edges, of)
     return nodes.select("node").join(down, "node", "left_anti").join(of.select("node"), "node", "left_anti")

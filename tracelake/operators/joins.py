@@ -102,3 +102,15 @@ def merge_by_precedence(sources: list[DataFrame], key: list[str], value: str) ->
     out = present.groupBy(*key).agg(F.min(F.struct("_i", value)).alias("_first"), (F.min(value) < F.max(value)).alias("_differ"))
     out = out.select(*key, F.col(f"_first.`{value}`").alias(value), "_differ")
     return tagged.select(*key).distinct().join(out, key, "left").select(*key, value, F.coalesce("_differ", F.lit(False)).alias("is_conflict"))
+
+
+def with_instance(rows: DataFrame, instances: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """Left join on ``key`` with an ``error`` column: ``no_key``, ``no_instance`` or null.
+
+    Instances have unique keys; with ``strict`` a row without its instance raises when it is read.
+    """
+    j = rows.join(instances.withColumn("_found", F.lit(True)), key, "left")
+    error = F.when(F.col(key).isNull(), "no_key").when(F.col("_found").isNull(), "no_instance")
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("no instance for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).cast("string")
+    return j.withColumn("error", error).drop("_found")

@@ -41,7 +41,7 @@ def stable_three_way(df: DataFrame, stratum: str, key: str, seed: str, test: flo
 
 
 def group_fill_split(df: DataFrame, group: str, seed: str, target: int) -> DataFrame:
-    """Whole groups in hash order go to validation until ``target`` rows are reached; the rest trains.
+    """Whole groups in hash order go to validation until ``target`` rows, or a tenth of all rows if that is less, are reached.
 
     The running total goes over groups, not rows.
     """
@@ -49,7 +49,8 @@ def group_fill_split(df: DataFrame, group: str, seed: str, target: int) -> DataF
 
     sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("_h", keyed_hash(seed, F.col(group)))
     cum = running_total(sizes, ["_h", group], "n", "upto")
-    return cum.select(group, "n", F.when(F.col("upto") - F.col("n") < target, "validation").otherwise("train").alias("split"))
+    goal = cum.agg(F.least(F.lit(target), F.expr("sum(n) div 10")).alias("_goal"))
+    return cum.crossJoin(goal).select(group, "n", F.when(F.col("upto") - F.col("n") < F.col("_goal"), "validation").otherwise("train").alias("split"))
 
 
 def round_robin(df: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:

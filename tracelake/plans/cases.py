@@ -126,10 +126,32 @@ def distinct_counts(spark, d):
     return c.agg(F.count("*").alias("n"), *[F.count_distinct(x).alias(n) for x, n in (("case_id", "n_cases"), ("author_id", "n_authors"), ("origin_trace_id", "n_traces"), ("dataset_name", "n_datasets"))])
 
 
-@query(f"with {_CA} select case_id, array_to_string(list_distinct(tags)[1:2], ',') is not null has_tags, array_to_string(tags[1:2], ',') head, array_to_string(list_concat(tags[1:1], tags[-1:]), ',') head_tail from ca where tags is not null and len(tags) > 1")
+@query(f"with {_CA} select case_id, coalesce(len(tags), 0) > 0 has_tags, greatest(coalesce(len(tags), 0) - 2, 0) n_dropped, array_to_string(tags[1:2], ',') head, case when tags is not null then array_to_string(list_concat(tags[1:1], tags[-1:]), ',') end head_tail from ca")
 def capped_lists(spark, d):
-    c = cases(spark, d).where("tags is not null and size(tags) > 1")
-    return c.select("case_id", F.lit(True).alias("has_tags"), F.array_join(F.slice("tags", 1, 2), ",").alias("head"), F.array_join(F.concat(F.slice("tags", 1, 1), F.slice("tags", -1, 1)), ",").alias("head_tail"))
+    """Lists capped at their first two items, and at first and last; how many items were dropped."""
+    n = F.coalesce(F.size("tags"), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    last = F.when(F.size("tags") > 0, F.slice("tags", -1, 1)).otherwise(F.col("tags"))
+    return cases(spark, d).select("case_id", (n > 0).alias("has_tags"), F.greatest(n - 2, F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join(F.slice("tags", 1, 2), ",").alias("head"), F.array_join(F.concat(F.slice("tags", 1, 1), last), ",").alias("head_tail"))
+
+
+@query("""with c as (select case_id, case_input.question question, coalesce(metadata.skill_domain, 'general') "domain" from dataset_cases where not coalesce(case_input.multi_turn, false) and case_id is not null)
+select case_id, question, "domain" from c""")
+def loaded_cases(spark, d):
+    """Cases of a single turn with their domain; a case id that comes twice is an error."""
+    from tracelake.sources.readers import load_cases
+
+    return load_cases(table(spark, d, "dataset_cases")).select("case_id", "question", "domain")
+
+
+@query(f"""with {ROLLOUTS}, i as (select iid, count(distinct request_id) n_requests from tool_events where iid is not null group by 1)
+select request_id, ro.iid, n_requests, case when ro.iid is null then 'no_key' when i.iid is null then 'no_instance' end error from ro left join i on i.iid = ro.iid""")
+def instance_join(spark, d):
+    """Rollouts with the instance of their iid; a row without one carries an error instead of being dropped."""
+    from tracelake.operators.joins import with_instance
+
+    i = table(spark, d, "tool_events").where("iid is not null").groupBy("iid").agg(F.count_distinct("request_id").alias("n_requests"))
+    return with_instance(rollouts(spark, d).select("request_id", "iid"), i, "iid")
 
 
 @query(f"""with {_CA}, a as (select distinct unnest(tags) t from ca where stratum = 'docs'), b as (select distinct unnest(tags) t from ca where stratum = 'drive'), j as (select a.t a, b.t b from a full join b on a.t = b.t where a.t is not null or b.t is not null)

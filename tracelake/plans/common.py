@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.core import delivered_once, table
@@ -33,11 +33,17 @@ def events(spark, d, *extra: str) -> DataFrame:
     return e.withColumn("tool", tool_name(F.col("tool_name"))).withColumn("started_us", F.unix_micros("started_at")).withColumn("ended_us", F.unix_micros("ended_at"))
 
 
-def chats(spark, d) -> DataFrame:
-    c = table(spark, d, "chat_messages").select("message_id", "record_id", "msg_pos", "msg_role", "content", "loss", "tool_call_id", "provider_id", "ingested_at")
+def chats(spark, d, *texts: Column | str) -> DataFrame:
+    """Messages once each, with the columns of ``texts``; the content itself goes through the shuffle only where it is asked for."""
+    c = table(spark, d, "chat_messages").select("message_id", "record_id", "msg_pos", "msg_role", "loss", "tool_call_id", "provider_id", "ingested_at", *texts)
     return delivered_once(c, "message_id")
 
 
+def n_chars(name: str = "n_chars") -> Column:
+    """Length of a message's content, 0 for none."""
+    return F.coalesce(F.length("content"), F.lit(0)).alias(name)
+
+
 ROLLOUTS = r"""
 ro as (
   select request_id, trace_id, iid, training_samples, ingested_at, cast(model_calls as bigint) model_calls, lower(trim(domain)) "domain", epoch_us(finished_at) finished_us,

@@ -24,11 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""with b as (select sha256(text) fp, count(*) n_before from documents group by 1), a as (select sha256(text) fp, count(*) n_after from documents where source <> 'train-log' group by 1)
-select fp, n_before, coalesce(n_after, 0) n_after, n_before - coalesce(n_after, 0) removed, 0::bigint added from b left join a using (fp) where n_before <> coalesce(n_after, 0)""")
+@query("""with b as (select sha256(text) fp, count(*) n from documents where doc_kind is not null group by 1), a as (select sha256(text) fp, count(*) n from documents where source <> 'train-log' group by 1),
+j as (select coalesce(b.fp, a.fp) fp, coalesce(b.n, 0) n_before, coalesce(a.n, 0) n_after from b full join a on b.fp = a.fp) select fp, n_before, n_after, greatest(n_before - n_after, 0) removed, greatest(n_after - n_before, 0) added from j where n_before <> n_after""")
 def multiset_diff(spark, d):
-    t = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("fp"))
-    m = U.multiset_diff(t.select("fp"), t.where("source <> 'train-log'").select("fp"), "fp")
+    """Documents of a known kind against documents outside the training log, copies counted on both sides."""
+    t = table(spark, d, "documents").select("source", "doc_kind", F.sha2("text", 256).alias("fp"))
+    m = U.multiset_diff(t.where("doc_kind is not null").select("fp"), t.where("source <> 'train-log'").select("fp"), "fp")
     return m.select("fp", "n_before", "n_after", "removed", "added")
 
 

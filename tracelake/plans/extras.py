@@ -60,7 +60,7 @@ def model_call_expansion(spark, d):
     w = Window.partitionBy("record_id").orderBy("msg_pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     part = F.conv(F.substring(F.md5(F.coalesce("content", F.lit(""))), 1, 7), 16, 10).cast("bigint")
-    c = chats(spark, d).withColumn("_k", part)
+    c = chats(spark, d, "content").withColumn("_k", part)
     c = c.withColumn("n_context", F.row_number().over(w) - 1).withColumn("context_key", F.coalesce(F.sum("_k").over(before), F.lit(0))).where("msg_role = 'assistant'")
     return c.select(
         "record_id", F.row_number().over(w).cast("bigint").alias("call_index"), F.col("n_context").cast("bigint").alias("n_context"), "context_key", F.lead("msg_pos").over(w).isNull().alias("is_last")
@@ -70,7 +70,7 @@ def model_call_expansion(spark, d):
 @query(f"""with {CHATS}, c as (select message_id, content from ch where msg_role = 'tool_call' and coalesce(json_valid(content), false)) select message_id, content->>'$.name' "name", '{{"type":"function","function":{{"name":"' || (content->>'$.name') || '"}}}}' wrapped, json_exists(content, '$.arguments') has_arguments from c""")
 def tool_call_wrapping(spark, d):
     """Calls in the wrapped form that renderers expect; already wrapped ones stay."""
-    c = chats(spark, d).where("msg_role = 'tool_call'").where(F.try_parse_json("content").isNotNull())
+    c = chats(spark, d, "content").where("msg_role = 'tool_call'").where(F.try_parse_json("content").isNotNull())
     name = F.coalesce(F.get_json_object("content", "$.function.name"), F.get_json_object("content", "$.name"))
     wrapped = F.to_json(F.struct(F.lit("function").alias("type"), F.struct(name.alias("name")).alias("function")))
     return c.select("message_id", name.alias("name"), wrapped.alias("wrapped"), F.get_json_object("content", "$.arguments").isNotNull().alias("has_arguments"))
@@ -94,7 +94,7 @@ def state_budgets(spark, d):
 
 @query(f"with {CHATS}, t as (select record_id, msg_pos, content from ch where msg_role = 'system') select record_id, msg_pos, starts_with(content, lag(content) over (partition by record_id order by msg_pos)) or lag(content) over (partition by record_id order by msg_pos) is null is_extension from t")
 def prefix_check(spark, d):
-    return P.prefix_compatible(chats(spark, d).where("msg_role = 'system'"), ["record_id"], "msg_pos", "content").select("record_id", "msg_pos", "is_extension")
+    return P.prefix_compatible(chats(spark, d, "content").where("msg_role = 'system'"), ["record_id"], "msg_pos", "content").select("record_id", "msg_pos", "is_extension")
 
 
 def queries():

@@ -151,19 +151,21 @@ def prompt_cards(spark, d):
 
 @query("select epoch_us(time_bucket(interval '1 day', started_at, timestamptz '2000-01-01 00:00:00+00')) // 1000000 day_s, successful, count(distinct event_id) n from tool_events group by 1, 2")
 def stream_daily_counts(spark, d):
-    """Windowed counts of a stream with a watermark, deliveries deduplicated; equals the batch result."""
+    """Daily counts of a stream: deliveries are deduplicated within a week, and only that week's keys are held as state.
+
+    What the stream has let through is a table, which is counted; so no day waits for a watermark to pass.
+    """
     from tracelake.streaming import events as E
 
     s = E.read_events(spark, f"{d}/tool_events.parquet*").select("event_id", "started_at", "successful").where("started_at is not null")
-    s = s.withWatermark("started_at", "3650 days").dropDuplicates(["event_id", "started_at"])
-    c = s.groupBy(F.window("started_at", "1 day"), "successful").agg(F.count("*").alias("n"))
-    c = c.select(F.unix_seconds(F.col("window.start")).alias("day_s"), "successful", "n")
-    return E.run_available(c, "daily", "complete")
+    once = E.run_available(E.deduplicated(s, "event_id", "started_at", "7 days"), "daily")
+    day = F.window("started_at", "1 day")
+    return once.groupBy(day.alias("w"), "successful").agg(F.count("*").alias("n")).select(F.unix_seconds(F.col("w.start")).alias("day_s"), "successful", "n")
 
 
 @query(f"with {CHATS}, w as (select record_id, content from ch where msg_role = 'user' and content is not null) select record_id, len(list_filter(regexp_split_to_array(lower(content), '[^a-z]+'), lambda x: x in ('please', 'find', 'open', 'share', 'move'))) n_verbs, regexp_matches(lower(content), '^(yes|ok|okay|sure|confirm(ed)?|go ahead)[.! ]*$') is_confirmed, regexp_matches(lower(content), '^(no|stop|cancel|don.t)\\b') is_rejected from w")
 def intent_flags(spark, d):
-    c = chats(spark, d).where("msg_role = 'user' and content is not null")
+    c = chats(spark, d, "content").where("msg_role = 'user' and content is not null")
     words = F.split(F.lower("content"), "[^a-z]+")
     return c.select(
         "record_id", F.size(F.filter(words, lambda x: x.isin("please", "find", "open", "share", "move"))).cast("bigint").alias("n_verbs"),

@@ -283,10 +283,14 @@ def state_rows(spark, d) -> DataFrame:
     return rewards(spark, d).select("request_id", F.explode(ev).alias("e")).select("request_id", F.col("e.turn_index").alias("turn"), F.explode("e.state_ids").alias("state"))
 
 
-@query(f"""with {_STATE_ROWS}, s as (select distinct request_id, turn, state from st) select a.state state_a, b.state state_b, count(*) n_units, false is_dependent from s a join s b on a.request_id = b.request_id and a.turn = b.turn and a.state < b.state group by 1, 2""")
+@query(f"""with {_STATE_ROWS}, s as (select distinct request_id, state from st), g as (select state, lag(state) over (order by state) parent from (select distinct state from s where state is not null)), p as (select a.state state_a, b.state state_b, count(*) n_units from s a join s b on a.request_id = b.request_id and a.state < b.state group by 1, 2)
+select state_a, state_b, n_units, g.parent is not null is_dependent from p left join g on g.state = state_b and g.parent = state_a""")
 def cofire_pairs(spark, d):
-    edges = spark.createDataFrame([], "child string, parent string")
-    return A.cofire(state_rows(spark, d), ["request_id", "turn"], "state", edges)
+    """States that hold in the same request; here a state depends on the one before it in the order of names (a few states)."""
+    s = state_rows(spark, d)
+    names = s.select(F.col("state").alias("child")).where("child is not null").distinct()
+    edges = names.withColumn("parent", F.lag("child").over(Window.orderBy("child"))).where("parent is not null")
+    return A.cofire(s, ["request_id"], "state", edges)
 
 
 @query(f"""with {_STATE_ROWS}, {ROLLOUTS}, v as (select case_id, request_id voter, state, min(turn) p from st join ro using (request_id) where case_id is not null group by 1, 2, 3),

@@ -13,8 +13,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     ``source_row`` counts the lines of a file in order, blank ones included, from 1.
     """
-    t = spark.read.option("wholetext", False).text(path).withColumn("source_file", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
-    t = t.withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("_id"))).where(F.trim("value") != "")
+    t = spark.read.text(path).select("value", F.input_file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # Lines are numbered within the blocks in which files are read; a block starts behind the lines of those before it.
+    blocks = t.groupBy("source_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("source_file", "_block", "_first", "_before")
+    t = t.join(blocks, ["source_file", "_block"]).withColumn("source_row", F.col("_before") + F.col("_id") - F.col("_first") + 1).where(F.trim("value") != "")
     parsed = t.withColumn("r", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     return parsed.select("source_file", "source_row", "r.*", F.when(~F.trim("value").startswith("{"), F.col("value")).alias("_not_object"))
 
@@ -40,6 +44,27 @@ def read_jsonl_sniffed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "source_file string, source_row long, value string")
 
 
+def load_cases(cases: DataFrame, domain: str | None = None, default: str = "general") -> DataFrame:
+    """(case_id, question, domain, ...) of the cases of a single turn, of one domain if asked for.
+
+    A missing domain is ``default``; an id that comes twice is an error, raised when its row is read.
+    """
+    c = cases.where(F.col("case_id").isNotNull() & ~F.coalesce(F.col("case_input.multi_turn"), F.lit(False)))
+    c = c.withColumn("question", F.col("case_input.question")).withColumn("domain", F.coalesce("metadata.skill_domain", F.lit(default)))
+    g = c.groupBy("case_id").agg(F.min_by(F.struct("question", "domain", "metadata"), F.struct("question", "domain")).alias("r"), F.count("*").alias("n"))
+    twice = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("case id comes twice: "), F.col("case_id"))).cast("string")).otherwise(F.col("case_id"))
+    out = g.select(twice.alias("case_id"), "r.question", "r.domain", "r.metadata")
+    return out if domain is None else out.where(F.col("domain") == domain)
+
+
+def load_instances(spark: SparkSession, pattern: str, key: str = "iid") -> DataFrame:
+    """Union of JSON files of state instances; an instance that several files hold is an error, raised when its row is read."""
+    d = spark.read.json(pattern, multiLine=True)
+    g = d.groupBy(key).agg(F.min(F.to_json(F.struct(*d.columns))).alias("_r"), F.count("*").alias("_n"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("instance comes twice: "), F.col(key).cast("string"))).cast("string")).otherwise(F.col("_r"))
+    return g.select(F.from_json(once, d.schema).alias("r")).select("r.*")
+
+
 def parse_training_log(lines: DataFrame, value: str = "value") -> DataFrame:
     """Typed columns of the iteration lines of a training log; other lines are dropped."""
     x = F.col(value)

@@ -45,22 +45,36 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/data")
 
 
-def attempt_states(stream: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Attempts (request_id, ok) -> state per request: completed, queued_retry or failed.
+def attempt_states(stream: DataFrame, max_attempts: int = 3, expire: str | None = None) -> DataFrame:
+    """Attempts (request_id, ok) -> state per request: running, completed, queued_retry or failed.
 
-    Keyed state holds the number of attempts; a completed request stays completed.
+    ``ok`` is null for an attempt that has begun and not ended.  Keyed state holds the number of ended attempts; a
+    completed request stays completed.  With ``expire`` the state of a request that nothing is heard of for so long
+    (processing time) is dropped, and one that was not completed is then reported as ``expired``; this needs a query
+    that keeps running, as one that only takes what is available would wait for it.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ship(stream.sparkSession)
+    wait = int(pd.Timedelta(expire).total_seconds() * 1000) if expire else None
 
     def step(key, frames, state):
         n, done = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield pd.DataFrame({"request_id": [key[0]], "attempts": [n], "state": ["expired"]})
+            return
+        last = None
         for f in frames:
-            for ok in f["ok"].tolist():
-                n += 1
-                done = done or bool(ok)
+            for last in f["ok"].tolist():
+                if last is not None and last == last:
+                    n += 1
+                    done = done or bool(last)
         state.update((n, done))
-        yield pd.DataFrame({"request_id": [key[0]], "attempts": [n], "state": ["completed" if done else "failed" if n >= max_attempts else "queued_retry"]})
+        if wait:
+            state.setTimeoutDuration(wait)
+        begun = last is None or last != last
+        yield pd.DataFrame({"request_id": [key[0]], "attempts": [n], "state": ["completed" if done else "running" if begun else "failed" if n >= max_attempts else "queued_retry"]})
 
-    return stream.groupBy("request_id").applyInPandasWithState(step, "request_id string, attempts int, state string", "attempts int, done boolean", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("request_id").applyInPandasWithState(step, "request_id string, attempts int, state string", "attempts int, done boolean", "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
