@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tracelake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = sorted(registry.oracle_sql())[::4]
+SOME = sorted(registry.oracle_sql())
 
 
 def test_every_sql_has_its_query():
